@@ -84,8 +84,8 @@ def template_verdicts(marked: DataFrame) -> DataFrame:
     stats = stats.withColumn("shape", shape)
     pooled = stats.groupBy("host", "shape").agg(F.sum("b").alias("pb"), F.sum("t").alias("pt"))
     both = stats.join(pooled, ["host", "shape"])
-    share = F.col("pb") / F.col("pt")
-    alike = (F.col("t") > 0) & (F.abs(F.col("b") / F.col("t") - share) <= Z * F.sqrt(share * (1 - share) / F.col("t")))
+    share = F.try_divide("pb", "pt")
+    alike = (F.col("t") > 0) & (F.abs(F.try_divide("b", "t") - share) <= Z * F.sqrt(F.try_divide(share * (1 - share), F.col("t"))))
     b, t = F.when(alike, F.col("pb")).otherwise(F.col("b")), F.when(alike, F.col("pt")).otherwise(F.col("t"))
     judged = both.select(
         "host",
