@@ -42,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand rows to Python in batches of whole texts that a worker beside a full heap can hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names compare without case, as Spark's resolver does)."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh
+from pagewright.llm.common import fresh, small_batches
 
 CHARS_PER_ERROR = 20
 BLOCK_BYTES = 16 << 20
@@ -142,6 +142,7 @@ def benchmark_matches(
 ) -> DataFrame:
     """key, item_key, errors, start, stop: one row for each text and item that it quotes."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("s"))
     schema = pa.schema([("key", pa.int64()), ("item", pa.int64()), ("errors", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
     out = None

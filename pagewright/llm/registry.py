@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import decontaminate, quality, simhash, token_counts, url_filter
+from pagewright.llm import decontaminate, html_text, line_dedup, quality, sharding, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_html_extraction": html_text.op5_html_extraction,
+        "op6_sharding": sharding.op6_sharding,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }

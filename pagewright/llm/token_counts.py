@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import small_batches
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 LIMIT = 2048
 _CACHED_WORDS, _CACHED_LENGTH = 400_000, 48
@@ -135,6 +137,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
             counts = [counter.count(t.as_py()) if t.is_valid else 0 for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], schema=schema)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(
         F.col(key).cast("bigint").alias("k"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("b"),
