@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, stored
+from pagewright.llm.common import fresh, small_batches, stored
 from pagewright.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -106,6 +106,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             got = fingerprints_of(batch.column(1).to_pylist(), shingle_words)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got.view(np.int64))], schema=schema)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("raw"))
     return slim.mapInArrow(run, "key bigint, fp bigint")
 
