@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,36 @@ def stored(df: DataFrame) -> DataFrame:
     The files go when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored() wrote; nothing may read it any more."""
+    fs, at = _hadoop(df.sparkSession, df.stored_at)
+    fs.delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

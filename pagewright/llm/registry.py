@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pagewright.llm import decontaminate, html_text, line_dedup, quality, sharding, simhash, token_counts, url_filter
+from pagewright.llm import decontaminate, html_text, line_dedup, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_html_extraction": html_text.op5_html_extraction,
         "op6_sharding": sharding.op6_sharding,
+        "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,

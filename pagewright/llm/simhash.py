@@ -138,12 +138,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5) -> DataFrame:
-    """The rows of docs whose key is the least of its component; a repeated key keeps its rows."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of docs whose key is the least of its component; a repeated key keeps its rows, rows without key stay."""
     found = near_duplicates(docs, key, text, shingle_words)
     name = fresh(docs, "kept_key")
     kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(name)).distinct()
-    return docs.join(kept, docs[key] == kept[name], "left_semi")
+    return docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col(name), "left_semi").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
