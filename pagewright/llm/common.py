@@ -84,6 +84,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), the condition evaluated on df's columns as they are.
+
+    Pushed below the projections that make them, it would compute arrays anew for each step of a lambda. A
+    non-deterministic column, which the optimiser doesn't move a filter past, holds it in place."""
+    name = fresh(df, "_fence")
+    return df.withColumn(name, F.monotonically_increasing_id()).where((F.col(name) >= 0) & condition).drop(name)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
 

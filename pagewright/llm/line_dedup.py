@@ -10,8 +10,9 @@ character) verifies them. Verified pairs are linked into classes, and of each cl
 Cases: lines of fewer than MIN_CHARS characters after trimming are always kept; null texts stay null and have no
 lines; the order of occurrences is (id, text hash, line), null ids first; rows with equal id and text count as one
 document and get the same result; an empty table gives an empty result; extra columns are carried through unchanged.
-Equal lines are one item before any join, so that a line in a third of all rows costs one candidate; the joins' hot
-keys are split by the engine's skew handling, and pairs that can't match are dropped inside the join.
+A line in a third of all rows meets others as one item: rows of equal lines are summed before each shuffle of their
+keys but one, the join that drops keys which no other line shares, whose hot keys the engine's skew handling splits;
+pairs that can't match are dropped inside the join of candidates.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fresh, stored
+from pagewright.llm.common import fenced, fresh, stored
 from pagewright.llm.components import connected_components
 
 EDITS = 2
@@ -101,7 +102,18 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def _letters(line: Column) -> Column:
-    return F.array(*[(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("int") for c in LETTERS])
+    """Counts of LETTERS, 127 at most each (which keeps the bound), seven bits a letter."""
+    out = F.lit(0).cast("bigint")
+    for k, c in enumerate(LETTERS):
+        n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127)).cast("bigint")
+        out = out.bitwiseOR(F.shiftleft(n, 7 * k))
+    return out
+
+
+def _apart(a: str, b: str) -> Column:
+    """Sum of the differences of two packed counts."""
+    part = lambda c, k: F.shiftright(c, 7 * k).bitwiseAND(F.lit(127).cast("bigint"))
+    return sum((F.abs(part(F.col(a), k) - part(F.col(b), k)) for k in range(len(LETTERS))), F.lit(0))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -111,26 +123,26 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """lines(h, line), different lines, to links (src, dst) of their hashes."""
+    """lines(h, line), which may repeat, to links (src, dst) of their hashes."""
     n = F.length("line")
-    ent = lines.select("h", n.alias("n"), _letters(F.col("line")).alias("c"), F.explode(_entries(F.col("line"), n, edits)).alias("e"))
-    ent = ent.select("h", "n", "c", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
-    # Only keys that two lines share can give a candidate.
-    shared = ent.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("indexed")).where("lo <> hi and indexed").select("key")
-    live = stored(ent.join(shared, "key"))
+    known = lines.select("h", n.alias("n"), _letters(F.col("line")).alias("c"), _entries(F.col("line"), n, edits).alias("all"))
+    ent = known.select("h", "n", "c", F.explode("all").alias("e")).select("h", "n", "c", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
+    # Only keys that two different lines share can give a candidate.
+    met = ent.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("indexed"))
+    shared = stored(met.where("lo <> hi and indexed").select("key"))
+    live = stored(ent.join(shared, "key").groupBy("key", "h", "n", "c").agg(F.max("own").alias("own")))
     a = live.where("own").select(F.col("key"), F.col("h").alias("ha"), F.col("n").alias("na"), F.col("c").alias("ca"))
     b = live.select(F.col("key"), F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    apart = sum((F.abs(F.get("ca", F.lit(k)) - F.get("cb", F.lit(k))) for k in range(len(LETTERS))), F.lit(0))
-    near = (F.col("nb") - F.col("na")).between(0, edits) & (apart <= 2 * edits) & ((F.col("na") < F.col("nb")) | (F.col("ha") < F.col("hb")))
+    near = (F.col("nb") - F.col("na")).between(0, edits) & (_apart("ca", "cb") <= 2 * edits) & ((F.col("na") < F.col("nb")) | (F.col("ha") < F.col("hb")))
     pairs = stored(a.join(b, (a.key == b.key) & near).select("ha", "hb").where("ha <> hb").distinct())
     ends = pairs.select(F.col("ha").alias("h")).union(pairs.select(F.col("hb").alias("h"))).distinct()
-    texts = stored(lines.join(ends, "h").select("h", "line"))
+    texts = stored(lines.join(ends, "h").groupBy("h").agg(F.first("line").alias("line")))
     two = (
         pairs.join(texts.select(F.col("h").alias("ha"), F.col("line").alias("la")), "ha")
         .join(texts.select(F.col("h").alias("hb"), F.col("line").alias("lb")), "hb")
         .withColumns({"xa": F.split("la", ""), "xb": F.split("lb", "")})
     )
-    return two.where(banded_distance(F.col("xa"), F.col("xb"), edits) <= edits).select(F.col("ha").alias("src"), F.col("hb").alias("dst"))
+    return fenced(two, banded_distance(F.col("xa"), F.col("xb"), edits) <= edits).select(F.col("ha").alias("src"), F.col("hb").alias("dst"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
@@ -138,9 +150,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     lines = _lines(docs, key, text)
     placed = stored(lines.select(F.xxhash64("line").alias("h"), "key", "th", "pos"))
     once = placed.groupBy("h").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
-    # Different lines, each read at its first place, so that the text needs no shuffle.
-    distinct = lines.withColumn("h", F.xxhash64("line")).select("h", "line")
-    roots = connected_components(near_line_links(distinct.dropDuplicates(["h"]), edits))
+    roots = connected_components(near_line_links(lines.select(F.xxhash64("line").alias("h"), "line"), edits))
     classed = once.join(roots, once.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"), "first", "n")
     least = classed.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     keep = classed.join(least, "root", "left").where("linked or n > 1").select("h", F.coalesce("least", "first").alias("keep"))
