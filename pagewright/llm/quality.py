@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WORD_CLASS, fresh, words
+from pagewright.llm.common import WORD_CLASS, fenced, fresh, words
 
 #: Rules by bit, never renumbered: name and the condition under which a text fails, over the measurements.
 RULES: tuple[tuple[str, str], ...] = (
@@ -140,7 +140,7 @@ def compare_policies(ledger: DataFrame, policies: list[Policy], bits: str = "fai
 def filter_quality(docs: DataFrame, policy: Policy = POLICIES["full-1"], text: str = "text") -> DataFrame:
     """The rows of docs that fail no rule of the policy, with the columns of docs."""
     into = fresh(docs, "ledger")
-    return measure(docs, text, into).where(kept(F.col(into).fail_bits, policy)).select(*docs.columns)
+    return fenced(measure(docs, text, into), kept(F.col(into).fail_bits, policy)).select(*docs.columns)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
