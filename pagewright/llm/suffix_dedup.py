@@ -148,7 +148,9 @@ def bit_field(values: DataFrame, column: str, bits: int = FIELD_BITS) -> bytes:
     bit = F.element_at(powers, (place.bitwiseAND(F.lit(63).cast("bigint")) + 1).cast("int"))
     rows = values.select(F.shiftrightunsigned(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     field = np.zeros(1 << (bits - 6), dtype=np.int64)
-    table = rows.toArrow()  # at most 2 ** (bits - 6) rows
+    rows = stored(rows)  # at most 2 ** (bits - 6) rows
+    table = rows.toArrow()
+    discard(rows)
     field[table.column(0).to_numpy()] = table.column(1).to_numpy()
     return field.tobytes()
 
