@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.plans import extract, queries_pages, queries_scalar
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = queries_scalar.QUERIES | queries_pages.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract.extract_pages(pages, keep=("page_id",))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
