@@ -10,14 +10,13 @@ character) verifies them. Verified pairs are linked into classes, and of each cl
 Cases: lines of fewer than MIN_CHARS characters after trimming are always kept; null texts stay null and have no
 lines; the order of occurrences is (id, text hash, line), null ids first; rows with equal id and text count as one
 document and get the same result; an empty table gives an empty result; extra columns are carried through unchanged.
-A line in a third of all rows meets others as one item: rows of equal lines are summed before each shuffle of their
-keys but one, the join that drops keys which no other line shares, whose hot keys the engine's skew handling splits;
+A very frequent line gives index entries at one place only, so that no key is hotter than 1 / HOT_SHARE of all lines;
 pairs that can't match are dropped inside the join of candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import fenced, fresh, stored
@@ -26,7 +25,8 @@ from pagewright.llm.components import connected_components
 EDITS = 2
 MIN_CHARS = 24
 # Frequent letters of the Latin script, whose counts bound the edit distance from below.
-LETTERS = "enatirosu"
+LETTERS = ("enatirosu", "dlhcmpgb ")
+HOT_SHARE = 10_000
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -34,29 +34,26 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def segment_bounds(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 0) of edits + 1."""
-    m = edits + 1
-    start = F.floor(length * i / m).cast("int")
-    return start, (F.floor(length * (i + 1) / m).cast("int") - start)
-
-
 def probe_shifts(i: int, delta: int, edits: int) -> list[int]:
     """Places, against the segment's own, where segment i (from 0) of a line shorter by delta can stand."""
     return [s for s in range(-edits, edits + delta + 1) if abs(s) <= i and abs(s - delta) <= edits - i]
 
 
 def _entries(line: Column, length: Column, edits: int) -> Column:
-    """All index and probe entries of a line: struct(key, own, probe)."""
-    out = []
-    for delta in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = segment_bounds(length - delta, i, edits)
-            for s in probe_shifts(i, delta, edits):
-                key = F.xxhash64(F.substring(line, start + 1 + s, size), length - delta, F.lit(i))
-                own = delta == 0 and s == 0
-                out.append(F.struct(key.alias("key"), F.lit(own).alias("own")))
-    return F.array(*out)
+    """All index and probe entries of a line: struct(key, own). Segment i of m covers length * i // m to length * (i + 1) // m.
+
+    A loop over a literal table instead of one long expression, which would be too large a method to be compiled."""
+    m = edits + 1
+    table = [(delta, i, s) for delta in range(edits + 1) for i in range(m) for s in probe_shifts(i, delta, edits)]
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in table])
+
+    def entry(p: Column) -> Column:
+        start = F.floor((length - p.d) * p.i / m).cast("int")
+        size = F.floor((length - p.d) * (p.i + 1) / m).cast("int") - start
+        key = F.xxhash64(F.substring(line, start + 1 + p.s, size), length - p.d, p.i)
+        return F.struct(key.alias("key"), ((p.d == 0) & (p.s == 0)).alias("own"))
+
+    return F.transform(places, entry)
 
 
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -101,19 +98,16 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.least(score, F.lit(edits + 1))
 
 
-def _letters(line: Column) -> Column:
-    """Counts of LETTERS, 127 at most each (which keeps the bound), seven bits a letter."""
-    out = F.lit(0).cast("bigint")
-    for k, c in enumerate(LETTERS):
-        n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127)).cast("bigint")
-        out = out.bitwiseOR(F.shiftleft(n, 7 * k))
-    return out
+def _letters(line: Column, letters: str) -> Column:
+    """Counts of letters, 127 at most each (which keeps the bound), seven bits a letter."""
+    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, c, F.lit(""))), F.lit(127)).cast("bigint")
+    return F.aggregate(F.array(*map(F.lit, letters)), F.lit(0).cast("bigint"), lambda acc, c: acc * 128 + count(c))
 
 
 def _apart(a: str, b: str) -> Column:
     """Sum of the differences of two packed counts."""
     part = lambda c, k: F.shiftright(c, 7 * k).bitwiseAND(F.lit(127).cast("bigint"))
-    return sum((F.abs(part(F.col(a), k) - part(F.col(b), k)) for k in range(len(LETTERS))), F.lit(0))
+    return sum((F.abs(part(F.col(a), k) - part(F.col(b), k)) for k in range(9)), F.lit(0))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -125,15 +119,18 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """lines(h, line), which may repeat, to links (src, dst) of their hashes."""
     n = F.length("line")
-    known = lines.select("h", n.alias("n"), _letters(F.col("line")).alias("c"), _entries(F.col("line"), n, edits).alias("all"))
-    ent = known.select("h", "n", "c", F.explode("all").alias("e")).select("h", "n", "c", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
-    # Only keys that two different lines share can give a candidate.
-    met = ent.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("indexed"))
-    shared = stored(met.where("lo <> hi and indexed").select("key"))
-    live = stored(ent.join(shared, "key").groupBy("key", "h", "n", "c").agg(F.max("own").alias("own")))
-    a = live.where("own").select(F.col("key"), F.col("h").alias("ha"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = live.select(F.col("key"), F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    near = (F.col("nb") - F.col("na")).between(0, edits) & (_apart("ca", "cb") <= 2 * edits) & ((F.col("na") < F.col("nb")) | (F.col("ha") < F.col("hb")))
+    counts = [_letters(F.col("line"), part).alias(f"c{k}") for k, part in enumerate(LETTERS)]
+    known = lines.withColumn("n", n).select("h", "n", *counts, _entries(F.col("line"), F.col("n"), edits).alias("all"))
+    ent = known.select("h", "n", "c0", "c1", F.explode("all").alias("e")).select("h", "n", "c0", "c1", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
+    # Only keys that two different lines share, one of them as its own segment, can give a candidate.
+    here = Window.partitionBy("key")
+    met = ent.withColumns({"lo": F.min("h").over(here), "hi": F.max("h").over(here), "indexed": F.max("own").over(here)})
+    live = stored(met.where("lo <> hi and indexed").groupBy("key", "h", "n", "c0", "c1").agg(F.max("own").alias("own")))
+    side = lambda x: [F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("c0").alias(f"c0{x}"), F.col("c1").alias(f"c1{x}")]
+    a = live.where("own").select("key", *side("a"))
+    b = live.select("key", *side("b"))
+    apart = _apart("c0a", "c0b") + _apart("c1a", "c1b")
+    near = (F.col("nb") - F.col("na")).between(0, edits) & (apart <= 2 * edits) & ((F.col("na") < F.col("nb")) | (F.col("ha") < F.col("hb")))
     pairs = stored(a.join(b, (a.key == b.key) & near).select("ha", "hb").where("ha <> hb").distinct())
     ends = pairs.select(F.col("ha").alias("h")).union(pairs.select(F.col("hb").alias("h"))).distinct()
     texts = stored(lines.join(ends, "h").groupBy("h").agg(F.first("line").alias("line")))
@@ -147,10 +144,14 @@ def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """(key, th, drop array<int>): for each document with some, the lines that a line before them repeats."""
-    lines = _lines(docs, key, text)
-    placed = stored(lines.select(F.xxhash64("line").alias("h"), "key", "th", "pos"))
-    once = placed.groupBy("h").agg(F.min(F.struct("key", "th", "pos")).alias("first"), F.count("*").alias("n"))
-    roots = connected_components(near_line_links(lines.select(F.xxhash64("line").alias("h"), "line"), edits))
+    lines = _lines(docs, key, text).withColumn("h", F.xxhash64("line"))
+    place = F.struct("key", "th", "pos")
+    placed = stored(lines.select("h", "key", "th", "pos"))
+    once = placed.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Lines with more than 1 / HOT_SHARE of all places, HOT_SHARE at most, give entries at their first place alone.
+    hot = stored(once.where(F.col("n") * HOT_SHARE > placed.count()).select(F.col("h").alias("hot"), "first"))
+    some = lines.join(F.broadcast(hot), lines.h == hot.hot, "left").where(F.col("hot").isNull() | place.eqNullSafe(F.col("first")))
+    roots = connected_components(near_line_links(some.select("h", "line"), edits))
     classed = once.join(roots, once.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"), "first", "n")
     least = classed.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     keep = classed.join(least, "root", "left").where("linked or n > 1").select("h", F.coalesce("least", "first").alias("keep"))
