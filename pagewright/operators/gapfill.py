@@ -17,6 +17,7 @@ from pagewright.config import EngineConfig
 from pagewright.functions import arrow, vocab
 from pagewright.functions import scalars as S
 from pagewright.operators import merge
+from pagewright.storage import written
 
 ANSWER = "struct<ok:boolean,values:map<string,string>>"
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```$", re.I)
@@ -90,6 +91,7 @@ def verified(asked: DataFrame, replies: DataFrame) -> DataFrame:
     each = each.withColumn("clean", arrow.clean_text_udf("e.value"))
     each = each.withColumn("clean", S.shorten(F.col("clean"), 2000)).withColumn("clean_norm", arrow.norm_text_udf("clean"))
     each = each.withColumn("v", verdict(F.col("e.key"), F.col("e.value"), F.col("clean"), F.col("clean_norm"), F.col("text"), F.col("text_norm")))
+    each = written(each.select("url", "pos", "e", "v"))
     note = F.when(F.col("v.value").isNull(), F.concat(F.lit("LLM value for "), F.col("e.key"), F.lit(" was rejected: "), F.col("v.reason"), F.lit(".")))
     per_page = each.groupBy("url").agg(
         F.map_from_entries(F.filter(F.collect_list(F.when(F.col("v.value").isNotNull(), F.struct(F.col("e.key"), F.col("v.value")))), lambda x: x.isNotNull())).alias("filled"),
@@ -110,8 +112,9 @@ def fill_gaps(df: DataFrame, config: EngineConfig = EngineConfig(), notes: str =
     if not config.llm_enabled or config.llm is None:
         note = F.concat(F.lit("LLM fallback skipped (no LLM_API_KEY set); still missing: "), F.array_join("gaps", ", "), F.lit("."))
         return df.withColumn(notes, F.when(F.size("gaps") > 0, F.array_append(notes, note)).otherwise(F.col(notes))).drop("gaps")
+    df = written(df)
     text = F.substring("text", 1, config.llm_input_chars)
     asked = df.where((F.size("gaps") > 0) & (F.length(text) >= config.llm_min_chars)).select("url", text.alias("text"), F.col("gaps").alias("wanted"))
-    side = verified(asked, config.llm(asked))
+    side = written(verified(asked, written(config.llm(asked))))
     joined = df.join(side, df.url == side.fill_url, "left").withColumn(notes, F.concat(notes, F.coalesce("fill_notes", F.array().cast("array<string>"))))
     return merge.overlay(joined).drop("gaps", "filled", "fill_url", "fill_notes")
