@@ -36,10 +36,11 @@ MODEL_FILE = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_PIECES = 1_000_000
 LONG = 40
-BUCKET_DOCS = 512
+BUCKET_DOCS = 2048
 UNIT_PATTERN = f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+"
 _UNITS = re.compile(UNIT_PATTERN)
 UNKNOWN_PENALTY = 10.0
+NO_PIECE = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -88,17 +89,34 @@ def _bucket(key: Column, text: Column) -> Column:
     return F.coalesce(F.floor(key / BUCKET_DOCS).cast("bigint"), -1 - F.pmod(F.xxhash64(text), F.lit(65536)))
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """units(unit) to (unit, edges): array of struct(s, l, score, id), one for each piece at place s of length l."""
+def _aggregate_in_memory(spark: SparkSession, groups: int = 20_000) -> None:
+    """Let an aggregation of lists hold so many groups before it sorts; a group here is one unit's few edges."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    if int(spark.conf.get(name)) < groups:
+        spark.conf.set(name, str(groups))
+
+
+def lattice(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
+    """units(unit) to (unit, edges), an edge for each piece at place s of length l.
+
+    unigram: struct(s, l, score, id). bpe: struct(k, v), ready for a map: k is s * 64 + l, v the piece's place in the
+    order of scores (equal scores share it) times 2 ** 21, plus its id."""
     spark = units.sparkSession
-    table = spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
+    _aggregate_in_memory(spark)
+    order = {score: n for n, score in enumerate(sorted({score for _, _, score in pieces.rows}, reverse=True))}
+    table = spark.createDataFrame([(p, i, sc, (order[sc] << 21) + i) for p, i, sc in pieces.rows], "piece string, id int, score double, v bigint")
     n = F.length("unit")
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     subs = subs.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
     found = subs.join(F.broadcast(table), "piece")
-    edges = found.groupBy("unit").agg(F.collect_list(F.struct("s", "l", "score", "id")).alias("edges"))
-    return units.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,l:int,score:double,id:int>>")))
+    edge, empty = (
+        (F.struct((F.col("s") * 64 + F.col("l")).alias("k"), "v"), "array<struct<k:int,v:bigint>>")
+        if kind == "bpe"
+        else (F.struct("s", "l", "score", "id"), "array<struct<s:int,l:int,score:double,id:int>>")
+    )
+    edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    return units.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast(empty)))
 
 
 def _bytes_of(char: Column, first: int) -> Column:
@@ -108,24 +126,20 @@ def _bytes_of(char: Column, first: int) -> Column:
 
 
 def fold_merges(unit: Column, known: Column) -> Column:
-    """Borders of the symbols of a unit after all merges. known: map from s * 64 + l to struct(score, id)."""
+    """Borders of the symbols of a unit after all merges. known: map from k to v, as in lattice()."""
 
     def step(acc: Column, _: Column) -> Column:
-        best = F.array_max(
-            F.transform(
-                F.sequence(F.lit(0), F.size(acc.b) - 3),
-                lambda i: F.struct(known[F.get(acc.b, i) * 63 + F.get(acc.b, i + 2)].score.alias("score"), (-i).alias("i")),
-            )
+        # The best pair: least order, then leftmost. A pair without a piece is null and comes last.
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.size(acc.b) - 3),
+            lambda i: F.struct(F.coalesce(F.shiftright(known[F.get(acc.b, i) * 63 + F.get(acc.b, i + 2)], 21), F.lit(NO_PIECE).cast("bigint")).alias("o"), i.alias("i")),
         )
         merged = F.when(
             (F.size(acc.b) >= 3) & ~acc.done,
             F.get(
                 F.transform(
-                    F.array(best),
-                    lambda x: F.when(
-                        x.score.isNotNull(),
-                        F.struct(F.array_remove(acc.b, F.get(acc.b, 1 - x.i)).alias("b"), F.lit(False).alias("done")),
-                    ),
+                    F.array(F.array_min(pairs)),
+                    lambda x: F.when(x.o < NO_PIECE, F.struct(F.array_remove(acc.b, F.get(acc.b, x.i + 1)).alias("b"), F.lit(False).alias("done"))),
                 ),
                 0,
             ),
@@ -169,14 +183,18 @@ def fold_viterbi(unit: Column, edges: Column) -> Column:
 
 def fold(lat: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
     """(unit, edges) to (unit, ids)."""
-    known = lat.withColumn("known", F.map_from_entries(F.transform("edges", lambda x: F.struct((x.s * 64 + x.l).alias("k"), F.struct(x.score.alias("score"), x.id.alias("id")).alias("v")))))
+    if kind == "bpe":
+        ids_of = F.map_from_entries("edges")
+    else:
+        ids_of = F.map_from_entries(F.transform("edges", lambda x: F.struct((x.s * 64 + x.l).alias("k"), x.id.cast("bigint").alias("v"))))
+    known = lat.withColumn("known", ids_of)
     cut = fold_merges(F.col("unit"), F.col("known")) if kind == "bpe" else fold_viterbi(F.col("unit"), F.col("edges"))
     known = known.withColumn("b", cut)
 
     def code(i: Column) -> Column:
         s, e = F.get("b", i), F.get("b", i + 1)
-        got = F.col("known")[s * 63 + e].id
-        return F.when(got.isNotNull(), F.array(got)).otherwise(_bytes_of(F.substring("unit", s + 1, F.lit(1)), pieces.bytes_from))
+        got = F.col("known")[s * 63 + e]
+        return F.when(got.isNotNull(), F.array((got % (1 << 21)).cast("int"))).otherwise(_bytes_of(F.substring("unit", s + 1, F.lit(1)), pieces.bytes_from))
 
     return known.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), code)).alias("ids"))
 

@@ -126,7 +126,7 @@ def test_viterbi_fold(spark):
         return max(options)
 
     units = ["▁a", "▁abc", "▁cab", "▁aab", "▁b", "▁abab"]
-    lat = sentencepiece_codec.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), pieces)
+    lat = sentencepiece_codec.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), pieces, "unigram")
     got = {r.unit: list(r.ids) for r in sentencepiece_codec.fold(lat, pieces, "unigram").collect()}
     assert got == {u: best(u)[1] for u in units}
 
