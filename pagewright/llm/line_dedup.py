@@ -39,10 +39,11 @@ def probe_shifts(i: int, delta: int, edits: int) -> list[int]:
     return [s for s in range(-edits, edits + delta + 1) if abs(s) <= i and abs(s - delta) <= edits - i]
 
 
-def _entries(line: Column, length: Column, edits: int) -> Column:
+def _entries(wide: Column, length: Column, edits: int) -> Column:
     """All index and probe entries of a line: struct(key, own). Segment i of m covers length * i // m to length * (i + 1) // m.
 
-    A loop over a literal table instead of one long expression, which would be too large a method to be compiled."""
+    wide: the line with four bytes a character, in which a place is found without counting characters. A loop over a
+    literal table instead of one long expression, which would be too large a method to be compiled."""
     m = edits + 1
     table = [(delta, i, s) for delta in range(edits + 1) for i in range(m) for s in probe_shifts(i, delta, edits)]
     places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in table])
@@ -50,7 +51,7 @@ def _entries(line: Column, length: Column, edits: int) -> Column:
     def entry(p: Column) -> Column:
         start = F.floor((length - p.d) * p.i / m).cast("int")
         size = F.floor((length - p.d) * (p.i + 1) / m).cast("int") - start
-        key = F.xxhash64(F.substring(line, start + 1 + p.s, size), length - p.d, p.i)
+        key = F.xxhash64(F.substring(wide, 4 * (start + p.s) + 1, 4 * size), length - p.d, p.i)
         return F.struct(key.alias("key"), ((p.d == 0) & (p.s == 0)).alias("own"))
 
     return F.transform(places, entry)
@@ -118,22 +119,21 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """lines(h, line), which may repeat, to links (src, dst) of their hashes."""
-    n = F.length("line")
-    counts = [_letters(F.col("line"), part).alias(f"c{k}") for k, part in enumerate(LETTERS)]
-    known = lines.withColumn("n", n).select("h", "n", *counts, _entries(F.col("line"), F.col("n"), edits).alias("all"))
-    ent = known.select("h", "n", "c0", "c1", F.explode("all").alias("e")).select("h", "n", "c0", "c1", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
+    wide = lines.select("h", F.encode("line", "UTF-32").alias("w")).withColumn("n", (F.octet_length("w") / 4).cast("int"))
+    ent = wide.select("h", F.explode(_entries(F.col("w"), F.col("n"), edits)).alias("e")).select("h", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
     # Only keys that two different lines share, one of them as its own segment, can give a candidate.
     here = Window.partitionBy("key")
     met = ent.withColumns({"lo": F.min("h").over(here), "hi": F.max("h").over(here), "indexed": F.max("own").over(here)})
-    live = stored(met.where("lo <> hi and indexed").groupBy("key", "h", "n", "c0", "c1").agg(F.max("own").alias("own")))
+    live = stored(met.where("lo <> hi and indexed").groupBy("key", "h").agg(F.max("own").alias("own")))
+    texts = stored(lines.join(live.select("h").distinct(), "h").groupBy("h").agg(F.first("line").alias("line")))
+    facts = texts.select("h", F.length("line").alias("n"), *[_letters(F.col("line"), part).alias(f"c{k}") for k, part in enumerate(LETTERS)])
+    known = stored(live.join(facts, "h"))
     side = lambda x: [F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("c0").alias(f"c0{x}"), F.col("c1").alias(f"c1{x}")]
-    a = live.where("own").select("key", *side("a"))
-    b = live.select("key", *side("b"))
+    a = known.where("own").select("key", *side("a"))
+    b = known.select("key", *side("b"))
     apart = _apart("c0a", "c0b") + _apart("c1a", "c1b")
     near = (F.col("nb") - F.col("na")).between(0, edits) & (apart <= 2 * edits) & ((F.col("na") < F.col("nb")) | (F.col("ha") < F.col("hb")))
     pairs = stored(a.join(b, (a.key == b.key) & near).select("ha", "hb").where("ha <> hb").distinct())
-    ends = pairs.select(F.col("ha").alias("h")).union(pairs.select(F.col("hb").alias("h"))).distinct()
-    texts = stored(lines.join(ends, "h").groupBy("h").agg(F.first("line").alias("line")))
     two = (
         pairs.join(texts.select(F.col("h").alias("ha"), F.col("line").alias("la")), "ha")
         .join(texts.select(F.col("h").alias("hb"), F.col("line").alias("lb")), "hb")
