@@ -227,10 +227,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             at = np.repeat(runs.at[keep], count) + step
             yield from _rows([np.repeat(runs.rank[keep], count), runs.whole[at], np.repeat(runs.doc[keep], count), np.repeat(runs.row[keep], count), np.repeat(runs.start[keep], count) + step], schema3)
 
+    discard(runs)  # read by nothing from here on
     strings = stored(slim.mapInArrow(third, ddl3))
-    discard(runs)
-    first_at = strings.groupBy("rank", "string").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    single = strings.join(first_at, ["rank", "string"]).where("doc > lo").select("doc", "row", "start", F.lit(THRESHOLD).cast("bigint").alias("n"))
+    first_at = stored(strings.groupBy("rank", "string").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("rank", "string", "lo"))
+    single = stored(strings.join(first_at, ["rank", "string"]).where("doc > lo").select("doc", "row", "start", F.lit(THRESHOLD).cast("bigint").alias("n")))
+    discard(strings)
+    discard(first_at)
     return whole.unionByName(single)
 
 
