@@ -7,7 +7,8 @@ places where a segment can stand (multi-match-aware bounds). Candidates must agr
 frequent letters within the budget; then a banded bit-parallel edit distance (the band in one 64-bit word, one step a
 character) verifies them. Verified pairs are linked into classes, and of each class only the first occurrence stays.
 
-Cases: lines of fewer than MIN_CHARS characters after trimming are always kept; null texts stay null and have no
+Cases: lines of fewer than MIN_CHARS characters after trimming have no near copies, and exact ones from `shortest`
+characters on (1 in the query and the pipeline stage); blank lines are always kept; null texts stay null and have no
 lines; the order of occurrences is (id, text hash, line), null ids first; rows with equal id and text count as one
 document and get the same result; an empty table gives an empty result; extra columns are carried through unchanged.
 A very frequent line gives index entries at one place only, so that no key is hotter than 1 / HOT_SHARE of all lines;
@@ -111,10 +112,10 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.abs(part(F.col(a), k) - part(F.col(b), k)) for k in range(9)), F.lit(0))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, th, pos, line): lines of MIN_CHARS characters or more, trimmed."""
+def _lines(docs: DataFrame, key: str, text: str, shortest: int) -> DataFrame:
+    """(key, th, pos, line): lines of shortest characters or more, trimmed."""
     df = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.posexplode(split_lines(F.col(text).cast("string"))).alias("pos", "raw"))
-    return df.select("key", "th", "pos", F.btrim("raw", F.lit(_TRIM)).alias("line")).where(F.length("line") >= MIN_CHARS)
+    return df.select("key", "th", "pos", F.btrim("raw", F.lit(_TRIM)).alias("line")).where(F.length("line") >= max(shortest, 1))
 
 
 def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -142,15 +143,15 @@ def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return fenced(two, banded_distance(F.col("xa"), F.col("xb"), edits) <= edits).select(F.col("ha").alias("src"), F.col("hb").alias("dst"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """(key, th, drop array<int>): for each document with some, the lines that a line before them repeats."""
-    lines = _lines(docs, key, text).withColumn("h", F.xxhash64("line"))
+    lines = _lines(docs, key, text, shortest).withColumn("h", F.xxhash64("line"))
     place = F.struct("key", "th", "pos")
     placed = stored(lines.select("h", "key", "th", "pos"))
     once = placed.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # Lines with more than 1 / HOT_SHARE of all places, HOT_SHARE at most, give entries at their first place alone.
     hot = stored(once.where(F.col("n") * HOT_SHARE > placed.count()).select(F.col("h").alias("hot"), "first"))
-    some = lines.join(F.broadcast(hot), lines.h == hot.hot, "left").where(F.col("hot").isNull() | place.eqNullSafe(F.col("first")))
+    some = lines.where(F.length("line") >= MIN_CHARS).join(F.broadcast(hot), lines.h == hot.hot, "left").where(F.col("hot").isNull() | place.eqNullSafe(F.col("first")))
     roots = connected_components(near_line_links(some.select("h", "line"), edits))
     classed = once.join(roots, once.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"), "first", "n")
     least = classed.where("linked").groupBy("root").agg(F.min("first").alias("least"))
@@ -159,9 +160,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     return gone.groupBy("key", "th").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines and n_removed as two more columns."""
-    drop = repeated_lines(docs, key, text, edits).select(F.col("key").alias(k := fresh(docs, "_k")), F.col("th").alias(t := fresh(docs, "_t")), F.col("drop").alias(d := fresh(docs, "_d")))
+    drop = repeated_lines(docs, key, text, edits, shortest).select(F.col("key").alias(k := fresh(docs, "_k")), F.col("th").alias(t := fresh(docs, "_t")), F.col("drop").alias(d := fresh(docs, "_d")))
     joined = docs.join(drop, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(t)), "left")
     parts = split_lines(F.col(text).cast("string"))
     places = F.array_except(F.sequence(F.lit(0), F.size(p := F.col(fresh(docs, "_p"))) - 1), F.col(d))
@@ -177,9 +178,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
 
 def filter_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines taken out; same rows, same columns."""
-    return dedup_lines(docs, key, text).select(*docs.columns)
+    return dedup_lines(docs, key, text, shortest=1).select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.crc32("text").alias("text_crc32"), F.length("text").cast("bigint").alias("n_chars"))
+    return dedup_lines(docs, shortest=1).select("doc_id", "n_lines", "n_removed", F.crc32("text").alias("text_crc32"), F.length("text").cast("bigint").alias("n_chars"))
