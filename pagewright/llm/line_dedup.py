@@ -7,6 +7,10 @@ places where a segment can stand (multi-match-aware bounds). Candidates must agr
 frequent letters within the budget; then a banded bit-parallel edit distance (the band in one 64-bit word, one step a
 character) verifies them. Verified pairs are linked into classes, and of each class only the first occurrence stays.
 
+Two edits are few for a long line. With `similar` (in the query and the pipeline stage), lines whose sets of SHINGLE_WORDS-word
+shingles, in lower case, have a Jaccard similarity of 4/5 or more are near copies as well, at any number of edits. Of n hashes in
+rising order the first n - ceil(4n/5) + 1 are the prefix, in which two such sets meet; pairs that meet are verified by whole sets.
+
 Cases: lines of fewer than MIN_CHARS characters after trimming have no near copies, and exact ones from `shortest`
 characters on (1 in the query and the pipeline stage); blank lines are always kept; null texts stay null and have no
 lines; the order of occurrences is (id, text hash, line), null ids first; rows with equal id and text count as one
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import fenced, fresh, stored
+from pagewright.llm.common import ascii_lower, fenced, fresh, stored, words
 from pagewright.llm.components import connected_components
 
 EDITS = 2
@@ -28,6 +32,7 @@ MIN_CHARS = 24
 # Frequent letters of the Latin script, whose counts bound the edit distance from below.
 LETTERS = ("enatirosu", "dlhcmpgb ")
 HOT_SHARE = 10_000
+SHINGLE_WORDS = 5
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -143,7 +148,32 @@ def near_line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return fenced(two, banded_distance(F.col("xa"), F.col("xb"), edits) <= edits).select(F.col("ha").alias("src"), F.col("hb").alias("dst"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
+def _shingles(line: Column) -> Column:
+    """Different shingle hashes of a line in rising order; none for lines of fewer words, which similarity can't link."""
+    w = words(ascii_lower(line))
+    spans = lambda x: F.when(F.size(x) >= SHINGLE_WORDS, F.sequence(F.lit(0), F.size(x) - SHINGLE_WORDS))
+    hashes = lambda x: F.transform(spans(x), lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(SHINGLE_WORDS)]))
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(w), hashes), 0)))
+
+
+def similar_line_links(lines: DataFrame) -> DataFrame:
+    """lines(h, line), which may repeat, to links (src, dst) of the hashes of lines at similarity 4/5 or more."""
+    sets = lines.select("h", _shingles(F.col("line")).alias("x"))
+    ent = sets.withColumn("n", F.size("x")).select("h", "n", F.explode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1)).alias("key"))
+    here = Window.partitionBy("key")
+    met = ent.withColumns({"lo": F.min("h").over(here), "hi": F.max("h").over(here)})
+    live = stored(met.where("lo <> hi").groupBy("key", "h").agg(F.first("n").alias("n")))
+    side = lambda x: live.select("key", F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    near = (F.col("ha") < F.col("hb")) & (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4)
+    pairs = stored(side("a").join(side("b"), "key").where(near).select("ha", "hb").distinct())
+    wanted = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    whole = stored(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", _shingles(F.col("line")).alias("x")))
+    two = pairs.join(whole.select(F.col("h").alias("ha"), F.col("x").alias("xa")), "ha").join(whole.select(F.col("h").alias("hb"), F.col("x").alias("xb")), "hb")
+    # 9 * common >= 4 * (na + nb) is common / (na + nb - common) >= 4/5.
+    return two.where(F.size(F.array_intersect("xa", "xb")) * 9 >= (F.size("xa") + F.size("xb")) * 4).select(F.col("ha").alias("src"), F.col("hb").alias("dst"))
+
+
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS, similar: bool = False) -> DataFrame:
     """(key, th, drop array<int>): for each document with some, the lines that a line before them repeats."""
     lines = _lines(docs, key, text, shortest).withColumn("h", F.xxhash64("line"))
     place = F.struct("key", "th", "pos")
@@ -152,7 +182,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     # Lines with more than 1 / HOT_SHARE of all places, HOT_SHARE at most, give entries at their first place alone.
     hot = stored(once.where(F.col("n") * HOT_SHARE > placed.count()).select(F.col("h").alias("hot"), "first"))
     some = lines.where(F.length("line") >= MIN_CHARS).join(F.broadcast(hot), lines.h == hot.hot, "left").where(F.col("hot").isNull() | place.eqNullSafe(F.col("first")))
-    roots = connected_components(near_line_links(some.select("h", "line"), edits))
+    links = near_line_links(some.select("h", "line"), edits)
+    if similar:
+        links = links.union(similar_line_links(some.select("h", "line")))
+    roots = connected_components(links)
     classed = once.join(roots, once.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), F.col("root").isNotNull().alias("linked"), "first", "n")
     least = classed.where("linked").groupBy("root").agg(F.min("first").alias("least"))
     keep = classed.join(least, "root", "left").where("linked or n > 1").select("h", F.coalesce("least", "first").alias("keep"))
@@ -160,9 +193,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     return gone.groupBy("key", "th").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS, similar: bool = False) -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines and n_removed as two more columns."""
-    drop = repeated_lines(docs, key, text, edits, shortest).select(F.col("key").alias(k := fresh(docs, "_k")), F.col("th").alias(t := fresh(docs, "_t")), F.col("drop").alias(d := fresh(docs, "_d")))
+    drop = repeated_lines(docs, key, text, edits, shortest, similar).select(F.col("key").alias(k := fresh(docs, "_k")), F.col("th").alias(t := fresh(docs, "_t")), F.col("drop").alias(d := fresh(docs, "_d")))
     joined = docs.join(drop, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(t)), "left")
     parts = split_lines(F.col(text).cast("string"))
     places = F.array_except(F.sequence(F.lit(0), F.size(p := F.col(fresh(docs, "_p"))) - 1), F.col(d))
@@ -178,9 +211,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
 
 def filter_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines taken out; same rows, same columns."""
-    return dedup_lines(docs, key, text, shortest=1).select(*docs.columns)
+    return dedup_lines(docs, key, text, shortest=1, similar=True).select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, shortest=1).select("doc_id", "n_lines", "n_removed", F.crc32("text").alias("text_crc32"), F.length("text").cast("bigint").alias("n_chars"))
+    return dedup_lines(docs, shortest=1, similar=True).select("doc_id", "n_lines", "n_removed", F.crc32("text").alias("text_crc32"), F.length("text").cast("bigint").alias("n_chars"))

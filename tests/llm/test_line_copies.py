@@ -1,6 +1,10 @@
 """Line dedup of the query and the pipeline stage: short lines and long near copies."""
 
+import random
+
 from conftest import SF
+from test_near_copies import near, shingles
+from test_operators import brute_groups, words
 
 from pagewright.llm import line_dedup
 
@@ -21,3 +25,21 @@ def test_query_leaves_no_exact_repeats(spark):
         seen.update(lines)
     removed = line_dedup.op8_line_dedup(spark, SF).agg({"n_removed": "sum"}).first()[0]
     assert removed > 0
+
+
+def test_similar_long_lines(spark):
+    rng = random.Random(31)
+    lines = []
+    for _ in range(6):
+        base = words(rng, rng.randint(80, 130)).split()
+        lines.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = f"replaced{rng.randint(0, 999)}"
+            lines.append(" ".join(copy))
+    comp = brute_groups(list(enumerate(map(shingles, lines))), near)
+    assert 3 < len(set(comp)) < len(lines) - 3
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.filter_lines(df).collect() if r.text}
+    assert got == {i for i, c in enumerate(comp) if i == c}
