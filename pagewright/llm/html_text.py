@@ -30,8 +30,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset("nav footer aside form menu head script style noscript template iframe button select option textarea svg object canvas dialog title xmp noembed noframes".split())
+NEVER = frozenset("nav footer aside menu head script style noscript template iframe button select option textarea svg object canvas dialog title xmp noembed noframes".split())
 MEANT = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 P_CLOSERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -64,6 +65,7 @@ class Node:
     parent: Node | None
     score: float = 0.0
     kids: list = field(default_factory=list)
+    worded: bool = False
 
 
 @dataclass
@@ -73,15 +75,21 @@ class Text:
     raw: str
 
 
+def _worded(tag: str, attrs: str) -> bool:
+    """A form, or marked by a word of its class, id or role: page wrappers may be so as well."""
+    if tag in MEANT or tag in PAGE:
+        return False
+    return tag == "form" or any(m[1].lower() in ("class", "id", "role", "aria-label") and JUNK.search(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs))
+
+
 def _junk(tag: str, attrs: str, parent: Node) -> bool:
+    """Never main text, by the element itself or as it is hidden."""
     if tag in NEVER or (tag == "header" and not parent.meant):
         return True
     if tag in MEANT or not attrs:
         return False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
-        if name in ("class", "id", "role", "aria-label") and JUNK.search(m[2] or m[3] or m[4] or ""):
-            return True
         if name == "aria-modal" or (name == "style" and "display:none" in (m[2] or m[3] or m[4] or "").replace(" ", "").lower()):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?=$|[\s/])", attrs, re.I))
@@ -148,6 +156,7 @@ def parse(source: str) -> tuple[Node, list[Text]]:
                 up = up.parent
         attrs = m[2]
         inside = Node(tag, f"{node.path}/{tag}" if len(node.path) < 400 else node.path, node.junk or _junk(tag, attrs, node), node.meant or tag in MEANT or "main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main", attrs, re.I)), node)
+        inside.worded = _worded(tag, attrs)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             if not end:
@@ -159,9 +168,46 @@ def parse(source: str) -> tuple[Node, list[Text]]:
             continue
         node.kids.append(inside)
         node = inside
+    _spread(root, texts)
     return root, texts
 
 
+def _spread(root: Node, texts: list[Text]) -> None:
+    """Hand junk down the tree; a class word doesn't count on an element that holds article, main or, without one, nearly all text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node.kids)
+    size: dict[int, int] = {}
+    for t in texts:
+        if not t.node.junk:
+            size[id(t.node)] = size.get(id(t.node), 0) + len(t.raw.strip())
+    for node in reversed(order):
+        if node.parent is not None:
+            size[id(node.parent)] = size.get(id(node.parent), 0) + size.get(id(node), 0)
+    # From the largest article or main inwards, while the next holds a good part of it: cards and comments don't.
+    spared: set[int] = set()
+    at, meant = root, [n for n in order if n.tag in MEANT and not n.junk and size.get(id(n), 0)]
+    while meant:
+        best = max(meant, key=lambda n: size[id(n)])
+        if at is not root and 4 * size[id(best)] < size[id(at)]:
+            break
+        up = best
+        while up is not None and id(up) not in spared:
+            spared.add(id(up))
+            up = up.parent
+        below: set[int] = {id(best)}
+        for node in order:
+            if node.parent is not None and id(node.parent) in below:
+                below.add(id(node))
+        at, meant = best, [n for n in meant if n is not best and id(n) in below]
+    total = size.get(id(root), 0)
+    for node in order:  # parents come first
+        wrapper = id(node) in spared if spared else size.get(id(node), 0) >= SHARE * total
+        node.junk = node.junk or (node.worded and not wrapper) or (node.parent is not None and node.parent.junk)
+
+
 def scores(texts: list[Text]) -> dict[str, float]:
     """Fused and smoothed score of each tag path."""
     chars: dict[str, float] = {}
