@@ -4,7 +4,8 @@ A page is read once into text nodes, each with its root-to-leaf tag path and the
 path, text length and punctuation are summed over its nodes; the two ratios (characters a node, punctuation a
 character) are smoothed over neighbouring nodes in page order and fused into a score; paths under elements or class
 names that are never main text score nothing, and paths in an element that is meant for main text weigh more. The
-content root is the deepest container that still holds nearly all of the score (a threshold over paths); all text
+content root is the deepest container that still holds nearly all of the score (a threshold over paths) and, on pages
+without article or main, has no unmarked text beside it that isn't mostly links; all text
 nodes under it are kept that aren't part of such boilerplate, so that short blocks of the article stay.
 
 Cases: null and empty html, and pages without text, give an empty text; broken, truncated and deeply nested markup is
@@ -230,6 +231,14 @@ def scores(texts: list[Text]) -> dict[str, float]:
     return {p: v / nodes[p] for p, v in total.items()}
 
 
+def _in_link(node: Node) -> bool:
+    while node is not None and node.tag in INLINE:
+        if node.tag == "a":
+            return True
+        node = node.parent
+    return False
+
+
 def main_text(source: str | None) -> str:
     if not source:
         return ""
@@ -249,11 +258,26 @@ def main_text(source: str | None) -> str:
     for node in reversed(order):
         if node.parent is not None:
             node.parent.score += node.score
+    # Characters outside and inside of links, by element: [plain, linked].
+    prose: dict[int, list[int]] = {}
+    for t in texts:
+        if not t.node.junk:
+            prose.setdefault(id(t.node), [0, 0])[_in_link(t.node)] += len(t.raw.strip())
+    own = {k: v[0] > v[1] for k, v in prose.items()}
+    for node in reversed(order):
+        if node.parent is not None and (got := prose.get(id(node))):
+            up = prose.setdefault(id(node.parent), [0, 0])
+            up[0], up[1] = up[0] + got[0], up[1] + got[1]
+    is_prose = lambda n: (got := prose.get(id(n), (0, 0)))[0] > got[1]
+    any_meant = any(t.node.meant and not t.node.junk and t.raw.strip() for t in texts)
     top = root
     while True:
         best = max(top.kids, key=lambda k: k.score, default=None)
         if best is None or best.score < SHARE * root.score or best.tag in INLINE or best.tag == "p":
             break
+        # Headings, leads and sections beside the best child belong to the text, whatever their share.
+        if not any_meant and (own.get(id(top)) or any(k is not best and is_prose(k) for k in top.kids)):
+            break
         top = best
         if top.tag in MEANT:
             break

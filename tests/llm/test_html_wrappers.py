@@ -27,3 +27,11 @@ def test_boilerplate_stays_out():
     comments = '<div class="comments">' + "<article>So nice, this.</article>" * 20 + "</div>"
     assert main_text(f"<body class='has-sidebar'><main><article><p>{TEXT}</p></article>{cards}</main></body>") == TEXT
     assert main_text(f"<main><article><p>{TEXT * 3}</p>{comments}</article></main>") == TEXT * 3
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 40])
+def test_heading_and_lead_at_any_length(n):
+    body = "".join(f"<p>{TEXT * 10}</p>" for _ in range(n))
+    want = " ".join(["Title", "Lead, short.", *[TEXT * 10] * n, "A last section."])
+    page = f"<body><div><a href=x>Home</a> <a href=y>Shop</a></div><div><h1>Title</h1><p>Lead, short.</p><div class=body>{body}</div><section>A last section.</section></div></body>"
+    assert main_text(page) == want
