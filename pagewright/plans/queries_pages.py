@@ -159,7 +159,10 @@ def rdfa_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda t: F.lit(f'vocab="https://schema.org/" typeof="{t}"')
     body = F.concat(_item("property", kind("Product"), kind("Brand"), kind("Offer")), F.lit('<div typeof="Product"><i property="name">no</i></div>'))
     rows = extract.extract_pages(_made(spark, sf_dir, F.lit(""), body), keep=("id",))
-    return _shown(rows, "name", "brand", "price", "currency", "colour", "availability").withColumn("note", F.lit("2 items"))
+    several = F.get(F.filter("warnings", lambda w: w.contains("Product items found")), F.lit(0))
+    rows = rows.withColumn("note", F.regexp_replace(several, r"^(\d+) Product items found in property markup; used the first one\.$", "$1 items"))
+    shown = _shown(rows, "name", "brand", "price", "currency", "colour", "availability", "note")
+    return shown.select(*[c for c in shown.columns if c != "note"], "note")
 
 
 def _items_sql(confidence: str, more: str = "") -> str:
