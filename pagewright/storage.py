@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a local folder only where the session names none."""
+    """spark.checkpoint.dir; a folder of this machine only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="pagewright-")

@@ -18,11 +18,15 @@ def test_entry(spark):
     assert df.count() == 50 and "price_text" in df.columns
 
 
-def test_entry_without_corpus_operators(monkeypatch):
-    import importlib.util
+@pytest.mark.parametrize("missing", ["pagewright.llm", "corpus_pipeline", "ahocorasick"])
+def test_entry_without_corpus_operators(monkeypatch, missing):
+    """A subpackage, a pipeline or a library that isn't there takes the corpus operators with it, and nothing else."""
+    import sys
 
     import __spark_entry__
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "pagewright.llm" else real(name, *a))
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("pagewright.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     assert set(__spark_entry__.queries()) == set(catalog.queries())
+    assert set(__spark_entry__.oracle_sql()) == set(catalog.oracle_sql())
