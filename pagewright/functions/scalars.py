@@ -47,12 +47,6 @@ def price_text(raw: Column) -> Column:
     return let(let(num, read), lambda v: F.when(v.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.regexp_replace(v, r"^0+(?=[0-9])", "")))
 
 
-def price_text_of_number(value: Column) -> Column:
-    """The same for a numeric column: negative and not-a-number values have no price."""
-    text = value.cast("string")
-    return F.when((value >= 0) & ~F.isnan(value.cast("double")), text)
-
-
 def price(text: Column) -> Column:
     return text.try_cast(PRICE)
 
@@ -102,11 +96,6 @@ def lower_confidence(value: Column) -> Column:
     return F.when(value == "high", F.lit("medium")).when(value.isNotNull(), F.lit("low"))
 
 
-def same_value(a: Column, b: Column, numeric: Column) -> Column:
-    """Prices compare as numbers, everything else without case."""
-    return F.when(numeric, price(a) == price(b)).otherwise(F.lower(a) == F.lower(b))
-
-
 def url_parts(url: Column) -> dict[str, Column]:
     """scheme, user, host, port (text), path, query of an address with an authority; null where there is none."""
     at = lambda k: F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^:/?#\[\]]*)(:[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", k)
@@ -144,9 +133,10 @@ def in_text(needle: Column, text: Column, strict: bool = False) -> Column:
 
 
 def prices_in_text(text: Column) -> Column:
-    """Canonical prices that stand beside a currency symbol or code."""
-    mark = "(?:" + "|".join([*(s if s.isalpha() else f"\\{s}" if s in "$" else s for s in [*vocab.SYMBOLS, *vocab.AMBIGUOUS]), *[rf"\b{c}\b" for c in vocab.ISO_CODES]]) + ")"
+    """Canonical prices that stand beside a currency symbol or code, in any case; a mark serves one number, read from the left."""
+    symbols = "|".join(f"\\Q{s}\\E" for s in [*vocab.SYMBOLS, *vocab.AMBIGUOUS])
+    mark = f"(?:{symbols}|(?<![A-Za-z])(?:{'|'.join(vocab.ISO_CODES)})(?![A-Za-z]))"
     num = "\\d(?:[\\d.,  ' ]*\\d)?"
-    before = F.regexp_extract_all(text, F.lit(f"(?U){mark}\\s?({num})"), F.lit(1))
-    after = F.regexp_extract_all(text, F.lit(f"(?U)({num})\\s?{mark}"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(F.concat(before, after), lambda n: price(price_text(n))), lambda p: p.isNotNull()))
+    both = F.lit(f"(?iU){mark}\\s?({num})|({num})\\s?{mark}")
+    found = F.concat(F.regexp_extract_all(text, both, F.lit(1)), F.regexp_extract_all(text, both, F.lit(2)))
+    return F.array_distinct(F.filter(F.transform(found, lambda n: price(price_text(n))), lambda p: p.isNotNull()))
