@@ -22,6 +22,7 @@ LABELS = (
     (r"^(sku|item code|article (number|no\.?)|item (number|no\.?))$", "sku"),
     (r"^brand$", "brand"),
 )
+# Cells that say nothing.
 BLANK_VALUES = ("", "-", "—", "n/a", "na", "none", "tbc", "tba")
 
 

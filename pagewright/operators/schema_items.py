@@ -7,6 +7,7 @@ import re
 from pagewright.functions import vocab
 from pagewright.functions.arrow import absolute_url, clean_text
 
+# Price types that name another price than the one to pay.
 LIST_PRICE = re.compile(r"list|strikethrough|msrp|rrp|retail", re.I)
 
 
