@@ -83,25 +83,27 @@ def verdict(field: Column, value: Column, clean: Column, clean_norm: Column, tex
 
 
 def verified(asked: DataFrame, replies: DataFrame) -> DataFrame:
-    """asked(url, text, wanted) and replies(url, status, content, problem) to (url, filled map, fill_notes array)."""
-    got = asked.join(replies, "url").withColumn("answer", F.when((F.col("status") == 200) & F.col("problem").isNull(), _answers("content")))
+    """asked(row_id, url, text, wanted) and replies(url, status, content, problem) to (fill_row, filled map, fill_notes array).
+
+    A reply serves all rows of its address, each checked against its own text; of several replies to one address one counts."""
+    got = asked.join(replies.dropDuplicates(["url"]), "url").withColumn("answer", F.when((F.col("status") == 200) & F.col("problem").isNull(), _answers("content")))
     got = got.withColumn("text_norm", arrow.norm_text_udf("text"))
     fields = F.filter(F.map_entries("answer"), lambda e: F.array_contains("wanted", e.key) & (F.trim(e.value) != ""))
-    each = got.where("answer is not null").select("url", "text", "text_norm", F.posexplode(fields).alias("pos", "e"))
+    each = got.where("answer is not null").select("row_id", "text", "text_norm", F.posexplode(fields).alias("pos", "e"))
     each = each.withColumn("clean", arrow.clean_text_udf("e.value"))
     each = each.withColumn("clean", S.shorten(F.col("clean"), 2000)).withColumn("clean_norm", arrow.norm_text_udf("clean"))
     each = each.withColumn("v", verdict(F.col("e.key"), F.col("e.value"), F.col("clean"), F.col("clean_norm"), F.col("text"), F.col("text_norm")))
-    each = written(each.select("url", "pos", "e", "v"))
+    each = written(each.select("row_id", "pos", "e", "v"))
     note = F.when(F.col("v.value").isNull(), F.concat(F.lit("LLM value for "), F.col("e.key"), F.lit(" was rejected: "), F.col("v.reason"), F.lit(".")))
-    per_page = each.groupBy("url").agg(
+    per_page = each.groupBy("row_id").agg(
         F.map_from_entries(F.filter(F.collect_list(F.when(F.col("v.value").isNotNull(), F.struct(F.col("e.key"), F.col("v.value")))), lambda x: x.isNotNull())).alias("filled"),
         F.transform(F.array_sort(F.collect_list(F.when(note.isNotNull(), F.struct("pos", note.alias("n"))))), lambda x: x.n).alias("rejected"),
     )
     failed = F.when(F.col("problem").isNotNull(), F.concat(F.lit("LLM request failed ("), F.col("problem"), F.lit("); those fields stay empty."))).when(
         F.col("status") != 200, F.concat(F.lit("LLM request failed (HTTP "), F.col("status").cast("string"), F.lit("); those fields stay empty."))
     ).when(F.col("answer").isNull(), F.lit(BAD_SHAPE))
-    return got.select("url", failed.alias("failed")).join(per_page, "url", "left").select(
-        F.col("url").alias("fill_url"), "filled",
+    return got.select("row_id", failed.alias("failed")).join(per_page, "row_id", "left").select(
+        F.col("row_id").alias("fill_row"), "filled",
         F.when(F.col("failed").isNotNull(), F.array("failed")).otherwise(F.coalesce("rejected", F.array().cast("array<string>"))).alias("fill_notes"),
     )
 
@@ -112,9 +114,12 @@ def fill_gaps(df: DataFrame, config: EngineConfig = EngineConfig(), notes: str =
     if not config.llm_enabled or config.llm is None:
         note = F.concat(F.lit("LLM fallback skipped (no LLM_API_KEY set); still missing: "), F.array_join("gaps", ", "), F.lit("."))
         return df.withColumn(notes, F.when(F.size("gaps") > 0, F.array_append(notes, note)).otherwise(F.col(notes))).drop("gaps")
-    df = written(df)
+    df = written(df.withColumn("row_id", F.monotonically_increasing_id()))
     text = F.substring("text", 1, config.llm_input_chars)
-    asked = df.where((F.size("gaps") > 0) & (F.length(text) >= config.llm_min_chars)).select("url", text.alias("text"), F.col("gaps").alias("wanted"))
-    side = written(verified(asked, written(config.llm(asked))))
-    joined = df.join(side, df.url == side.fill_url, "left").withColumn(notes, F.concat(notes, F.coalesce("fill_notes", F.array().cast("array<string>"))))
-    return merge.overlay(joined).drop("gaps", "filled", "fill_url", "fill_notes")
+    asked = df.where((F.size("gaps") > 0) & (F.length(text) >= config.llm_min_chars)).select("row_id", "url", text.alias("text"), F.col("gaps").alias("wanted"))
+    # One request an address, with the text of its first row and all that its rows want.
+    wanted = F.array_distinct(F.flatten(F.collect_set("wanted"))).alias("wanted")
+    requests = asked.groupBy("url").agg(F.min_by("text", "row_id").alias("text"), wanted)
+    side = written(verified(asked, written(config.llm(requests))))
+    joined = df.join(side, df.row_id == side.fill_row, "left").withColumn(notes, F.concat(notes, F.coalesce("fill_notes", F.array().cast("array<string>"))))
+    return merge.overlay(joined).drop("gaps", "filled", "fill_row", "fill_notes", "row_id")

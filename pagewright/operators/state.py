@@ -27,14 +27,15 @@ def _scan(df: DataFrame, group: str, order: list[str], schema: str, run) -> Data
     return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
-def ttl_cache(requests: DataFrame, key: str, at: str, ttl: float, ok: str | None = None) -> DataFrame:
+def ttl_cache(requests: DataFrame, key: str, at: str, ttl: float, ok: str | None = None, order: str | None = None) -> DataFrame:
     """(key, at, hit): whether a result put at the last miss is still young enough; failed requests put nothing.
 
+    Keys of any type that sorts, addresses say; a null key is a key. Requests of one time come by `order`, else successful first.
     A result of exactly ttl seconds still counts; a hit doesn't renew it. Rows of a key are read in order of time with
     one number of state, so a hot key needs no memory."""
     good = F.col(ok) if ok else F.lit(True)
-    slim = requests.select(F.col(key).cast("bigint").alias("k"), F.col(at).cast("double").alias("t"), good.alias("g"))
-    schema = pa.schema([("k", pa.int64()), ("t", pa.float64()), ("hit", pa.bool_())])
+    tie = F.col(order) if order else ~good
+    slim = requests.select(F.col(key).alias("k"), F.col(at).cast("double").alias("t"), good.alias("g"), tie.alias("o"))
 
     def run(batches):
         last, put = object(), None
@@ -47,9 +48,9 @@ def ttl_cache(requests: DataFrame, key: str, at: str, ttl: float, ok: str | None
                 if not hit:
                     put = t if g else None
                 hits.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_())], names=["k", "t", "hit"])
 
-    return _scan(slim, "k", ["t"], "k bigint, t double, hit boolean", run).select(F.col("k").alias(key), F.col("t").alias(at), "hit")
+    return _scan(slim, "k", ["t", "o"], f"k {slim.schema['k'].dataType.simpleString()}, t double, hit boolean", run).select(F.col("k").alias(key), F.col("t").alias(at), "hit")
 
 
 def lru_cache(requests: DataFrame, cache: str, key: str, at: str, ttl: float, entries: int, order: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.operators import candidates, gapfill, merge, parse
+from pagewright.storage import written
 
 HINT = "The page has almost no text without JavaScript; enable rendering to read it."
 
@@ -31,18 +32,20 @@ def extract_pages(pages: DataFrame, config: EngineConfig = EngineConfig(), keep:
     df = merged_pages(pages, config, keep)
     poor = F.length("text") < config.render_below_chars
     if config.render_enabled and config.renderer is not None:
-        return _rendered(pages, df, config, keep)
+        return _rendered(df, config, keep)
     rows = merge.product_rows(df, *dict.fromkeys(["url", *keep]), "n_filled", "text")
     hint = F.when(poor & (F.col("n_filled") == 0), F.array(F.lit(HINT))).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("warnings", F.concat("warnings", hint)).drop("n_filled", "text")
 
 
-def _rendered(pages: DataFrame, df: DataFrame, config: EngineConfig, keep: tuple[str, ...]) -> DataFrame:
-    """Near-empty pages are rendered and read again; the rendering counts if it fills more fields."""
+def _rendered(df: DataFrame, config: EngineConfig, keep: tuple[str, ...]) -> DataFrame:
+    """Near-empty pages are rendered and read again; the rendering counts if it fills more fields.
+
+    The static rows are written once, for they are both asked and answered. Each address is rendered once, for all its rows."""
     names = list(dict.fromkeys(["url", *keep]))
-    static = merge.product_rows(df, *names, "n_filled", (F.length("text") < config.render_below_chars).alias("poor"))
+    static = written(merge.product_rows(df, *names, "n_filled", (F.length("text") < config.render_below_chars).alias("poor")))
     wanted = static.where("poor").select("url").distinct()
-    again = config.renderer(wanted)  # (url, html, problem)
+    again = written(config.renderer(wanted)).dropDuplicates(["url"])  # (url, html, problem)
     ok = merged_pages(again.where("html is not null").select("url", "html"), config)
     dynamic = merge.product_rows(ok, "url", "n_filled")
     values = [c for c in dynamic.columns if c not in ("url", "n_filled", "warnings")]

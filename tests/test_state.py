@@ -1,6 +1,7 @@
 """Pacing and caches against plain simulations."""
 
 import random
+from collections import Counter
 
 from pagewright.operators import state
 
@@ -21,6 +22,15 @@ def test_ttl_edges(spark):
     assert [g[2] for g in got] == [False, True, False, False, False, False, True]
 
 
+def test_ttl_keys_and_ties(spark):
+    """Keys are addresses; of requests at one time the order column decides, else those that succeed come first."""
+    rows = [("https://a/", 0.0, False, 2), ("https://a/", 0.0, True, 1), ("https://b/", 1.0, True, 1), (None, 2.0, True, 1), (None, 3.0, True, 1)]
+    df = spark.createDataFrame(rows, "url string, t double, ok boolean, n int")
+    for order in ("n", None):
+        got = Counter((r.url, r.t, r.hit) for r in state.ttl_cache(df, "url", "t", 60.0, "ok", order).collect())
+        assert got == Counter([("https://a/", 0.0, False), ("https://a/", 0.0, True), ("https://b/", 1.0, False), (None, 2.0, False), (None, 3.0, True)])
+
+
 def test_lru(spark):
     rows = [("c", k, float(i)) for i, k in enumerate("abacab")]
     got = sorted((r.t, r.hit) for r in state.lru_cache(spark.createDataFrame(rows, "c string, k string, t double"), "c", "k", "t", 100.0, 2).collect())
