@@ -68,13 +68,11 @@ def admit(urls: DataFrame, dns: DataFrame, url: str = "url", allow_private: bool
     df = df.join(names, df.host == names.dns_host, "left")
     literal = F.col("host").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | F.col("host").contains(":")
     df = df.withColumn("ips", F.when(literal, F.array("host")).otherwise(F.col("ips")))
-    addresses = df.where("problem is null").select(F.explode("ips").alias("ip")).distinct()
-    public = addresses.withColumn("public", arrow.is_public_ip_udf("ip"))
-    key = F.struct(*[F.col(c) for c in urls.columns])
-    numbered = df.withColumn("row_key", F.xxhash64(F.to_json(key)))
-    checked = numbered.select("row_key", F.posexplode("ips").alias("pos", "ip")).distinct().join(public, "ip", "left")
-    bad = checked.where("not coalesce(public, false)").groupBy("row_key").agg(F.min_by("ip", "pos").alias("bad_ip"))
-    out = numbered.join(bad, "row_key", "left")
+    # Addresses follow from the host alone: each host is judged once, whatever the number of its urls.
+    listed = df.where("problem is null").select("host", F.posexplode("ips").alias("pos", "ip")).distinct()
+    public = listed.select("ip").distinct().withColumn("public", arrow.is_public_ip_udf("ip"))
+    bad = listed.join(public, "ip", "left").where("not coalesce(public, false)").groupBy(F.col("host").alias("bad_host")).agg(F.min_by("ip", "pos").alias("bad_ip"))
+    out = df.join(bad, (df.host == bad.bad_host) & df.problem.isNull(), "left")
     blocked = F.concat(F.lit("Host '"), F.col("host"), F.lit("' resolves to a non-public address ("), F.col("bad_ip"), F.lit(")."))
     err = (
         F.when(F.col("problem").isNotNull(), error("invalid_url", F.col("problem")))
