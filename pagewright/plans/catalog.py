@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import extract, queries_pages, queries_scalar
+from pagewright.plans import extract, queries_flows, queries_pages, queries_scalar
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = queries_scalar.QUERIES | queries_pages.QUERIES
+_ALL = queries_scalar.QUERIES | queries_pages.QUERIES | queries_flows.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
