@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one of this machine only where the session names none."""
+    """The folder that all executors share; a folder of this machine only where the session names none and runs on this machine alone."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="pagewright-")
@@ -47,15 +50,21 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What runs inside gives its shuffle files back as soon as it has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What runs inside runs under these settings; afterwards the session has its own again."""
+    was = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """What runs inside gives its shuffle files back as soon as it has ended."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -69,11 +78,12 @@ def discard(df: DataFrame) -> None:
     fs.delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand rows to Python in batches of whole texts that a worker beside a full heap can hold."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 8192, size: int = 4 << 20) -> None:
+    """Hand rows to Python in batches bounded in rows and bytes, which a worker beside a full heap can hold; tighter settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).rstrip("bB")  # a size with another unit has been set on purpose
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(df: DataFrame, name: str) -> str:
