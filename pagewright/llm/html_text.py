@@ -1,22 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path and the containers it stands in. For every
-path, text length and punctuation are summed over its nodes; the two ratios (characters a node, punctuation a
-character) are smoothed over neighbouring nodes in page order and fused into a score; paths under elements or class
-names that are never main text score nothing, and paths in an element that is meant for main text weigh more. The
-content root is the deepest container that still holds nearly all of the score (a threshold over paths) and, on pages
-without article or main, has no unmarked text beside it that isn't mostly links; all text
-nodes under it are kept that aren't part of such boilerplate, so that short blocks of the article stay.
+A page is read once into blocks of text, each with its root-to-leaf path of block elements. For every path, text length,
+punctuation and linked text are summed over its blocks; two ratios (characters a block, punctuation a character) are
+fused into one, which is smoothed over neighbouring blocks in page order and weighed by the third, the share of text
+outside of links. Names only weigh: a path in article or main counts MEANT_WEIGHT times, one in an element, class, id or role of the word lists JUNK_WEIGHT times
+(the lists don't count on html, body and on what holds the page's main article or, without one, nearly all text). Paths
+whose weighed score reaches CUT times the best, and FLOOR, are content.
+
+The content root is the deepest element that holds nearly all of the content paths' text and, on pages without
+article or main, has no unmarked prose beside it. Under it, blocks of other paths, such as headings and short list items,
+belong to the text as well unless they are marked or, outside of article and main, mostly links.
 
 Cases: null and empty html, and pages without text, give an empty text; broken, truncated and deeply nested markup is
-read without recursion; a text is never cut; repeated rows stay; an empty table gives an empty result; extra columns
-are not looked at.
+read without recursion, attributes as browsers read them; a text is never cut; repeated rows and keys of any type stay;
+an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,7 +36,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset("nav footer aside menu head script style noscript template iframe button select option textarea svg object canvas dialog title xmp noembed noframes".split())
+#: Not shown as text, or controls.
+UNSEEN = frozenset("head script style noscript template iframe button select option textarea svg object canvas dialog title xmp noembed noframes".split())
+BESIDE = frozenset("nav footer aside menu".split())
 MEANT = frozenset("article main".split())
 PAGE = frozenset("html body".split())
 P_CLOSERS = frozenset(
@@ -49,115 +56,177 @@ JUNK = re.compile(
     r"|comments?|disqus|replies|respond|login|search|pagination|pager|widget|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+_OPENS = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_GAP, _NAME, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 PUNCTUATION = re.compile(r"[.,;:!?，。！？；：、]")
-SHARE, MEANT_WEIGHT, SMOOTH = 0.9, 1e6, 1
+MEANT_WEIGHT, JUNK_WEIGHT = 8.0, 0.005
+CUT, FLOOR, SHARE, NEAR = 0.4, 0.15, 0.9, 1
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
-    """An open element."""
+    """An open element. path numbers its chain of block elements, marked ones apart."""
 
     tag: str
-    path: str
-    junk: bool
-    meant: bool
     parent: Node | None
-    score: float = 0.0
-    kids: list = field(default_factory=list)
+    hidden: bool = False
+    meant: bool = False
+    beside: bool = False
     worded: bool = False
+    kids: list = field(default_factory=list)
+    size: int = 0
+    path: int = 0
+    weight: float = 1.0
+    mass: float = 0.0
 
 
-@dataclass
-class Text:
+@dataclass(eq=False)
+class Block:
+    """Text between two borders of block elements."""
+
     node: Node
-    block: int
-    raw: str
+    parts: list
+    chars: int = 0
+    points: int = 0
+    linked: int = 0
 
 
-def _worded(tag: str, attrs: str) -> bool:
+def read_tag(source: str, at: int) -> tuple[dict[str, str], int] | None:
+    """Attributes from behind a tag's name and the place behind its end; None if the page ends first."""
+    attrs: dict[str, str] = {}
+    n = len(source)
+    while True:
+        at = _GAP.match(source, at).end()
+        if at >= n:
+            return None
+        if source[at] == ">":
+            return attrs, at + 1
+        m = _NAME.match(source, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(source, at):
+            at = m.end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(source, at)
+                value, at = m[0], m.end()
+        attrs.setdefault(name, value)
+
+
+def _worded(tag: str, attrs: dict[str, str]) -> bool:
     """A form, or marked by a word of its class, id or role: page wrappers may be so as well."""
     if tag in MEANT or tag in PAGE:
         return False
-    return tag == "form" or any(m[1].lower() in ("class", "id", "role", "aria-label") and JUNK.search(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs))
+    return tag == "form" or any(JUNK.search(attrs.get(a, "")) for a in ("class", "id", "role", "aria-label"))
+
+
+def _hidden(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in UNSEEN or "hidden" in attrs or "aria-modal" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def parse(source: str) -> tuple[Node, list[Block]]:
+    """The root and the blocks in page order."""
+    root = node = Node("", None)
+    blocks: list[Block] = []
+    current: Block | None = None
+    is_open: Counter = Counter()
+    at, n = 0, len(source)
+
+    def text(raw: str, plain: bool = True) -> None:
+        nonlocal current
+        if node.hidden:
+            return
+        if current is None:
+            holder = node
+            while holder.tag in INLINE:
+                holder = holder.parent
+            current = Block(holder, [])
+            blocks.append(current)
+        current.parts.append(raw)
+        if plain and (size := len(raw.strip())):
+            current.chars += size
+            current.points += len(PUNCTUATION.findall(raw))
+            up = node
+            while up.tag in INLINE:
+                if up.tag == "a":
+                    current.linked += size
+                    break
+                up = up.parent
+            node.size += size
 
+    def leave(up: Node) -> None:
+        """Close all up to and with this element."""
+        nonlocal node
+        while True:
+            is_open[node.tag] -= 1
+            node, gone = node.parent, node
+            if gone is up:
+                return
 
-def _junk(tag: str, attrs: str, parent: Node) -> bool:
-    """Never main text, by the element itself or as it is hidden."""
-    if tag in NEVER or (tag == "header" and not parent.meant):
-        return True
-    if tag in MEANT or not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name = m[1].lower()
-        if name == "aria-modal" or (name == "style" and "display:none" in (m[2] or m[3] or m[4] or "").replace(" ", "").lower()):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?=$|[\s/])", attrs, re.I))
-
-
-def parse(source: str) -> tuple[Node, list[Text]]:
-    """The root and the text nodes in page order. block counts up where an element that isn't inline begins or ends."""
-    root = node = Node("", "", False, False, None)
-    texts: list[Text] = []
-    block, at, n = 0, 0, len(source)
     while at < n:
         low = source.find("<", at)
         if low < 0:
-            texts.append(Text(node, block, source[at:]))
+            text(source[at:])
             break
-        m = _TOKEN.match(source, low)
         if low > at:
-            texts.append(Text(node, block, source[at:low]))
+            text(source[at:low])
+        m = _OPENS.match(source, low)
         if not m:
-            texts.append(Text(node, block, "<"))
-            at = low + 1
-            continue
-        at = m.end()
-        if m[1] is None:
+            if source.startswith("<!--", low):
+                end = source.find("-->", low + 2)
+                at = n if end < 0 else end + 3
+            elif source[low + 1 : low + 2] in ("!", "?", "/") and low + 1 < n:
+                end = source.find(">", low)
+                at = n if end < 0 else end + 1
+            else:
+                text("<")
+                at = low + 1
             continue
-        if m[3] != ">":  # cut off in the middle of a tag
+        found = read_tag(source, m.end())
+        if found is None:  # cut off in the middle of a tag
             break
+        attrs, at = found
         tag = m[1].lower()
         if source[low + 1] == "/":
             if tag not in INLINE:
-                block += 1
-            up = node
-            while up is not root and up.tag != tag:
-                if tag in INLINE and up.tag in SCOPES:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+                current = None
+            if is_open[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    if tag in INLINE and up.tag in SCOPES:
+                        break
+                    up = up.parent
+                if up.tag == tag:
+                    leave(up)
             continue
-        if tag not in INLINE and tag != "br":
-            block += 1
         if tag == "br":
-            texts.append(Text(node, block, " "))
+            text(" ", False)
             continue
+        if tag not in INLINE:
+            current = None
         if tag in VOID:
             continue
-        if tag in P_CLOSERS:
+        if tag in P_CLOSERS and is_open["p"] > 0:
             up = node
             while up is not root and up.tag not in SCOPES:
                 if up.tag == "p":
-                    node = up.parent
+                    leave(up)
                     break
                 up = up.parent
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(is_open[c] > 0 for c in SIBLINGS[tag]):
             up, closes = node, SIBLINGS[tag]
             while up is not root:
                 if up.tag in closes:
-                    node = up.parent
+                    leave(up)
                     up = node
-                    continue
-                if up.tag in SCOPES:
+                elif up.tag in SCOPES:
                     break
-                up = up.parent
-        attrs = m[2]
-        inside = Node(tag, f"{node.path}/{tag}" if len(node.path) < 400 else node.path, node.junk or _junk(tag, attrs, node), node.meant or tag in MEANT or "main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main", attrs, re.I)), node)
-        inside.worded = _worded(tag, attrs)
+                else:
+                    up = up.parent
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             if not end:
@@ -165,145 +234,139 @@ def parse(source: str) -> tuple[Node, list[Text]]:
             close = source.find(">", end.end())
             at = n if close < 0 else close + 1
             continue
-        if attrs.endswith("/") and tag not in INLINE and tag in ("svg", "path"):
-            continue
+        inside = Node(tag, node, node.hidden or _hidden(tag, attrs), node.meant or tag in MEANT or attrs.get("role", "").lower() == "main")
+        inside.beside = tag in BESIDE or (tag == "header" and not node.meant)
+        inside.worded = _worded(tag, attrs)
         node.kids.append(inside)
+        is_open[tag] += 1
         node = inside
-    _spread(root, texts)
-    return root, texts
+    _weigh(root)
+    return root, [b for b in blocks if b.chars]
 
 
-def _spread(root: Node, texts: list[Text]) -> None:
-    """Hand junk down the tree; a class word doesn't count on an element that holds article, main or, without one, nearly all text."""
+def _in_order(root: Node) -> list[Node]:
+    """All elements, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(node.kids)
-    size: dict[int, int] = {}
-    for t in texts:
-        if not t.node.junk:
-            size[id(t.node)] = size.get(id(t.node), 0) + len(t.raw.strip())
+    return order
+
+
+def _weigh(root: Node) -> None:
+    """Number the paths and hand weights down. A word doesn't count on an element that holds the main article or, without one, nearly all text."""
+    order = _in_order(root)
     for node in reversed(order):
-        if node.parent is not None:
-            size[id(node.parent)] = size.get(id(node.parent), 0) + size.get(id(node), 0)
+        if node.parent is not None and not node.beside:
+            node.parent.size += node.size
     # From the largest article or main inwards, while the next holds a good part of it: cards and comments don't.
-    spared: set[int] = set()
-    at, meant = root, [n for n in order if n.tag in MEANT and not n.junk and size.get(id(n), 0)]
+    spared: set[Node] = set()
+    at, meant = root, [n for n in order if n.tag in MEANT and not n.hidden and n.size]
     while meant:
-        best = max(meant, key=lambda n: size[id(n)])
-        if at is not root and 4 * size[id(best)] < size[id(at)]:
+        best = max(meant, key=lambda n: n.size)
+        if at is not root and 4 * best.size < at.size:
             break
         up = best
-        while up is not None and id(up) not in spared:
-            spared.add(id(up))
+        while up is not None and up not in spared:
+            spared.add(up)
             up = up.parent
-        below: set[int] = {id(best)}
+        below = {best}
         for node in order:
-            if node.parent is not None and id(node.parent) in below:
-                below.add(id(node))
-        at, meant = best, [n for n in meant if n is not best and id(n) in below]
-    total = size.get(id(root), 0)
-    for node in order:  # parents come first
-        wrapper = id(node) in spared if spared else size.get(id(node), 0) >= SHARE * total
-        node.junk = node.junk or (node.worded and not wrapper) or (node.parent is not None and node.parent.junk)
-
-
-def scores(texts: list[Text]) -> dict[str, float]:
-    """Fused and smoothed score of each tag path."""
-    chars: dict[str, float] = {}
-    points: dict[str, float] = {}
-    nodes: dict[str, int] = {}
-    order = []
-    for t in texts:
-        if t.node.junk or not (text := t.raw.strip()):
+            if node.parent in below:
+                below.add(node)
+        at, meant = best, [n for n in meant if n is not best and n in below]
+    paths: dict[tuple[int, str, bool], int] = {}
+    for node in order:
+        up = node.parent
+        if up is None:
             continue
-        p = t.node.path
-        chars[p] = chars.get(p, 0) + len(text)
-        points[p] = points.get(p, 0) + len(PUNCTUATION.findall(text))
-        nodes[p] = nodes.get(p, 0) + 1
-        order.append(p)
-    raw = {p: chars[p] / nodes[p] * (1 + points[p] / nodes[p]) for p in chars}
-    total: dict[str, float] = {}
-    for i, p in enumerate(order):
-        near = order[max(0, i - SMOOTH) : i + SMOOTH + 1]
-        total[p] = total.get(p, 0) + sum(raw[q] for q in near) / len(near)
-    return {p: v / nodes[p] for p, v in total.items()}
-
-
-def _in_link(node: Node) -> bool:
-    while node is not None and node.tag in INLINE:
-        if node.tag == "a":
-            return True
-        node = node.parent
-    return False
-
-
-def main_text(source: str | None) -> str:
-    if not source:
-        return ""
-    root, texts = parse(source)
-    by_path = scores(texts)
-    if not by_path:
-        return ""
-    for t in texts:
-        if not t.node.junk and t.raw.strip():
-            t.node.score += by_path[t.node.path] * (MEANT_WEIGHT if t.node.meant else 1)
-    # Sums from the leaves up, without recursion.
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(node.kids)
+        wrapper = node in spared if spared else node.size >= SHARE * root.size
+        marked = node.beside or (node.worded and not wrapper)
+        node.weight = up.weight * (JUNK_WEIGHT if marked else 1.0)
+        node.path = up.path if node.tag in INLINE and not marked else paths.setdefault((up.path, node.tag, marked), len(paths) + 1)
+
+
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Fused, smoothed and weighed score of each path."""
+    chars, points, linked, count = Counter(), Counter(), Counter(), Counter()
+    weight = {}
+    for b in blocks:
+        p = b.node.path
+        chars[p] += b.chars
+        points[p] += b.points
+        linked[p] += b.linked
+        count[p] += 1
+        weight[p] = b.node.weight * (MEANT_WEIGHT if b.node.meant else 1.0)
+    fused = {p: math.log2(1 + c / count[p]) * (1 + 5 * min(points[p] / c, 0.2)) for p, c in chars.items()}
+    smooth: Counter = Counter()
+    order = [fused[b.node.path] for b in blocks]
+    for i, b in enumerate(blocks):
+        near = order[max(0, i - NEAR) : i + NEAR + 1]
+        smooth[b.node.path] += sum(near) / len(near)
+    return {p: weight[p] * (1 - 0.8 * linked[p] / chars[p]) * smooth[p] / count[p] for p in chars}
+
+
+def main_blocks(root: Node, blocks: list[Block]) -> list[Block]:
+    """The blocks of the main text."""
+    score = path_scores(blocks)
+    bound = max(FLOOR, CUT * max(score.values(), default=0.0))
+    content = {p for p, v in score.items() if v >= bound}
+    if not content:
+        return []
+    order = _in_order(root)
+    plain, linked = Counter(), Counter()
+    own = set()
+    for b in blocks:
+        if b.node.path in content:
+            b.node.mass += b.chars * score[b.node.path]
+        if b.node.weight >= 1:
+            plain[b.node] += b.chars - b.linked
+            linked[b.node] += b.linked
+            if b.chars > 2 * b.linked:
+                own.add(b.node)
     for node in reversed(order):
         if node.parent is not None:
-            node.parent.score += node.score
-    # Characters outside and inside of links, by element: [plain, linked].
-    prose: dict[int, list[int]] = {}
-    for t in texts:
-        if not t.node.junk:
-            prose.setdefault(id(t.node), [0, 0])[_in_link(t.node)] += len(t.raw.strip())
-    own = {k: v[0] > v[1] for k, v in prose.items()}
-    for node in reversed(order):
-        if node.parent is not None and (got := prose.get(id(node))):
-            up = prose.setdefault(id(node.parent), [0, 0])
-            up[0], up[1] = up[0] + got[0], up[1] + got[1]
-    is_prose = lambda n: (got := prose.get(id(n), (0, 0)))[0] > got[1]
-    any_meant = any(t.node.meant and not t.node.junk and t.raw.strip() for t in texts)
+            node.parent.mass += node.mass
+            plain[node.parent] += plain[node]
+            linked[node.parent] += linked[node]
+    any_meant = any(b.node.meant and b.node.path in content for b in blocks)
     top = root
     while True:
-        best = max(top.kids, key=lambda k: k.score, default=None)
-        if best is None or best.score < SHARE * root.score or best.tag in INLINE or best.tag == "p":
+        best = max(top.kids, key=lambda k: k.mass, default=None)
+        if best is None or best.mass < SHARE * root.mass or best.tag in INLINE or best.tag == "p":
             break
         # Headings, leads and sections beside the best child belong to the text, whatever their share.
-        if not any_meant and (own.get(id(top)) or any(k is not best and is_prose(k) for k in top.kids)):
+        if not any_meant and (top in own or any(k is not best and plain[k] > linked[k] for k in top.kids)):
             break
         top = best
         if top.tag in MEANT:
             break
-    inside: dict[int, bool] = {}
+    inside: dict[Node, bool] = {}
     for node in order:  # parents come first
-        inside[id(node)] = node is top or (node.parent is not None and inside[id(node.parent)])
-    blocks: dict[int, list[str]] = {}
-    for t in texts:
-        if inside[id(t.node)] and not t.node.junk:
-            blocks.setdefault(t.block, []).append(t.raw)
-    cleaned = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
+        inside[node] = node is top or (node.parent is not None and inside[node.parent])
+    lenient = lambda b: b.node.weight >= top.weight and (top.meant or b.chars > 2 * b.linked)
+    return [b for b in blocks if inside[b.node] and (b.node.path in content or lenient(b))]
+
+
+def main_text(source: str | None) -> str:
+    if not source:
+        return ""
+    cleaned = (" ".join(entities.unescape("".join(b.parts)).split()) for b in main_blocks(*parse(source)))
     return " ".join(b for b in cleaned if b)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text, n_chars of every row."""
-    schema = pa.schema([("k", pa.int64()), ("u", pa.string()), ("t", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         for batch in batches:
             got = [main_text(v.as_py()) for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["k", "u", "t", "n"])
 
     small_batches(pages.sparkSession)
-    slim = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
-    return slim.mapInArrow(run, "k bigint, u string, t string, n bigint").select(
+    slim = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"))
+    return slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, u string, t string, n bigint").select(
         F.col("k").alias(key), F.col("u").alias(url), F.col("t").alias("text"), F.col("n").alias("n_chars")
     )
 
