@@ -1,46 +1,49 @@
-"""SentencePiece encoding and decoding by a relational lattice.
+"""SentencePiece encoding and decoding by a lattice of pieces.
 
 A text becomes units: a run of word marks with what follows it, or a line break; no piece of more than one character
-crosses such a border, so that units are encoded each for itself. The different units of all texts form the lattice:
-their substrings of bounded length are exploded, equi-joined to the piece table (broadcast: a model has MAX_PIECES
-pieces at most), grouped by unit and folded by a higher-order aggregate. The fold is Viterbi for unigram models. The
-public vocabulary at hand is a merge (BPE) model, for which Viterbi over its scores doesn't give the library's result;
-there the fold merges the best-scored adjacent pair until none is left, over the same lattice edges. Characters without
-a piece become byte pieces.
-
-Texts are dealt out in buckets of neighbouring ids; a bucket gets the codes of its own different units by a join and
-replaces them in one pass, so that no table of all units has to fit anywhere.
-
-Cases: null and empty texts have no pieces; white space is kept as it is; repeated rows stay; a unit over LONG
-characters is merged with a heap in one pass instead of the fold; rows without id are dealt out by their text; an empty
-table gives an empty result; extra columns are not looked at. Decoding turns ids back into text, byte pieces
-included; it restores every text but a literal U+2581, which the library, too, gives back as a space.
+crosses such a border, so that units are encoded each for itself. A unit's lattice has an edge for each substring, of bounded
+length, that the piece table holds; the edges are grouped by unit and folded into the unit's pieces.
+
+viterbi_units() does this relationally, for a table of units of a unigram model: substrings are exploded, equi-joined to
+the piece table (broadcast: a model has MAX_PIECES pieces at most), grouped by unit and folded by Viterbi in a
+higher-order aggregate. The public vocabulary at hand is a merge (BPE) model, for which Viterbi over its scores doesn't
+give the library's result; there the fold merges the best-scored adjacent pair, which is an edge of the lattice, until
+none is left, with a heap. encode() takes whole texts and does all of it in the task that read them, nothing is shuffled
+or written: the join is a look-up in the worker's copy of the piece table, and units that a worker has seen are kept, in
+a table of bounded size. (Exploded and joined by the engine, the units of a task cost over three times the time limit.)
+Characters without a piece become byte pieces.
+
+Cases: null and empty texts have no pieces; white space is kept as it is; repeated rows stay, null and repeated keys
+too, and a key keeps its type; a unit of any length is folded in one way, in n log n steps; an empty table gives an empty
+result; extra columns are not looked at. Decoding turns ids back into text, byte pieces included; it restores every text
+but a literal U+2581, which the library, too, gives back as a space.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_batches, stored
+from pagewright.llm.common import small_batches
 from pagewright.llm.token_counts import tokenizer_path
 
 MODEL_FILE = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_PIECES = 1_000_000
-LONG = 40
-BUCKET_DOCS = 2048
-UNIT_PATTERN = f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+"
-_UNITS = re.compile(UNIT_PATTERN)
+STRETCH = 64
+#: A worker keeps so many different units, or so many of their characters, at a time.
+KEPT_UNITS, KEPT_CHARS = 1_000_000, 24 << 20
+_UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 UNKNOWN_PENALTY = 10.0
-NO_PIECE = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -74,81 +77,161 @@ def load_pieces(path: str) -> Pieces:
         else:
             rows.append((piece, i, float(sp.get_score(i))))
             by_id.append(piece.replace(MARK, " ").encode())
+    if first is None:
+        raise ValueError("a model without byte pieces")
     for piece, _, _ in rows:
         if MARK in piece.lstrip(MARK) or ("\n" in piece and len(piece) > 1):
             raise ValueError(f"piece {piece!r} crosses a border of units")
     return Pieces(tuple(rows), first, tuple(by_id))
 
 
-def marked(text: Column) -> Column:
-    """The text as the model sees it: a word mark first and for each space; empty for an empty one."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
+def merged(unit: str, table: dict[str, tuple[int, float]]) -> list[int]:
+    """Borders of a unit's symbols after all merges: least loss first, then leftmost. table: (id, loss) by substring.
+
+    Of the lattice, only edges that join two symbols are looked up."""
+    n = len(unit)
+    end = list(range(1, n + 2))  # of the symbol that starts here; 0 once it is merged into another
+    before = list(range(-1, n))  # start of the symbol before
+    got, push = table.get, heapq.heappush
+    heap = [(f[1], i, i + 2) for i in range(n - 1) if (f := got(unit[i : i + 2]))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, k = heapq.heappop(heap)
+        j = end[i]
+        if j >= k or not j or end[j] != k:  # the pair has changed since it was pushed
+            continue
+        end[i], end[j] = k, 0
+        if k < n:
+            before[k] = i
+            e = end[k]
+            if f := got(unit[i:e]):
+                push(heap, (f[1], i, e))
+        h = before[i]
+        if h >= 0 and (f := got(unit[h:k])):
+            push(heap, (f[1], h, k))
+    borders, i = [0], 0
+    while i < n:
+        i = end[i]
+        borders.append(i)
+    return borders
+
+
+def best_path(unit: str, table: dict[str, tuple[int, float]], longest: int) -> list[int]:
+    """Borders of the path of least loss through a unit's lattice; a character without a piece costs UNKNOWN_PENALTY above the greatest."""
+    n = len(unit)
+    into = [[(f[1], s) for s in range(max(0, e - longest), e) if (f := table.get(unit[s:e]))] for e in range(n + 1)]
+    high = max((loss for edges in into for loss, _ in edges), default=0.0) + UNKNOWN_PENALTY
+    total, back = [0.0] * (n + 1), [0] * (n + 1)
+    for e in range(1, n + 1):
+        options = into[e]
+        if all(s != e - 1 for _, s in options):
+            options = [*options, (high, e - 1)]
+        total[e], last = min((total[s] + loss, -s) for loss, s in options)
+        back[e] = -last
+    borders = [n]
+    while borders[-1]:
+        borders.append(back[borders[-1]])
+    return borders[::-1]
+
+
+class Codes(dict):
+    """unit -> its ids as bytes of int32, filled as units are asked for."""
+
+    def __init__(self, pieces: Pieces, kind: str):
+        super().__init__()
+        self.pieces, self.kind, self.longest = pieces, kind, pieces.longest
+        self.table = {piece: (i, -score) for piece, i, score in pieces.rows}
+        self.chars = 0
+        self.lossy: set[str] = set()  # units that don't come back from their ids
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= KEPT_UNITS or self.chars > KEPT_CHARS:
+            self.clear()
+            self.lossy.clear()
+            self.chars = 0
+        ids = self.ids(unit)
+        if b"".join(map(self.pieces.by_id.__getitem__, ids)) != unit.replace(MARK, " ").encode():
+            self.lossy.add(unit)
+        self[unit] = found = array("i", ids).tobytes()
+        self.chars += len(unit)
+        return found
 
+    def ids(self, unit: str) -> list[int]:
+        got = self.table.get
+        cut = merged(unit, self.table) if self.kind == "bpe" else best_path(unit, self.table, self.longest)
+        out = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            if found := got(unit[a:b]):
+                out.append(found[0])
+            else:
+                out += [self.pieces.bytes_from + x for x in unit[a:b].encode()]
+        return out
 
-def _bucket(key: Column, text: Column) -> Column:
-    return F.coalesce(F.floor(key / BUCKET_DOCS).cast("bigint"), -1 - F.pmod(F.xxhash64(text), F.lit(65536)))
 
+@lru_cache(maxsize=2)
+def _codes(path: str, kind: str) -> Codes:
+    return Codes(load_pieces(path), kind)
 
-def _aggregate_in_memory(spark: SparkSession, groups: int = 20_000) -> None:
-    """Let an aggregation of lists hold so many groups before it sorts; a group here is one unit's few edges."""
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    if int(spark.conf.get(name)) < groups:
-        spark.conf.set(name, str(groups))
 
+def _encoded(batch: pa.RecordBatch, codes: Codes, most: int = 256) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, most):
+        part = batch.slice(a, most)
+        lists, ok = [], []
+        for s in part.column(1).to_pylist():
+            found = _UNITS.findall(MARK + s.replace(" ", MARK)) if s else []
+            lists.append(b"".join(map(codes.__getitem__, found)))
+            ok.append(not s or (MARK not in s and (not codes.lossy or codes.lossy.isdisjoint(found))))
+        sizes = np.array([len(x) // 4 for x in lists], dtype=np.int64)
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        values = pa.array(np.frombuffer(b"".join(lists), dtype="<i4"), pa.int32())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, values), pa.array(ok, pa.bool_())], names=["k", "n", "ids", "ok"])
 
-def lattice(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
-    """units(unit) to (unit, edges), an edge for each piece at place s of length l.
 
-    unigram: struct(s, l, score, id). bpe: struct(k, v), ready for a map: k is s * 64 + l, v the piece's place in the
-    order of scores (equal scores share it) times 2 ** 21, plus its id."""
-    spark = units.sparkSession
-    _aggregate_in_memory(spark)
-    order = {score: n for n, score in enumerate(sorted({score for _, _, score in pieces.rows}, reverse=True))}
-    table = spark.createDataFrame([(p, i, sc, (order[sc] << 21) + i) for p, i, sc in pieces.rows], "piece string, id int, score double, v bigint")
-    n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
-    subs = subs.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
-    found = subs.join(F.broadcast(table), "piece")
-    edge, empty = (
-        (F.struct((F.col("s") * 64 + F.col("l")).alias("k"), "v"), "array<struct<k:int,v:bigint>>")
-        if kind == "bpe"
-        else (F.struct("s", "l", "score", "id"), "array<struct<s:int,l:int,score:double,id:int>>")
-    )
-    edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-    return units.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast(empty)))
+def decode_ids(ids: list[int] | np.ndarray, by_id: tuple[bytes, ...]) -> str:
+    """Text of a list of ids, without the first word mark."""
+    raw = b"".join(map(by_id.__getitem__, ids))
+    return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _bytes_of(char: Column, first: int) -> Column:
-    """Ids of the byte pieces of a character."""
-    digits = F.hex(char.cast("binary"))
-    return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda k: F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first)
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, kind: str = "bpe") -> DataFrame:
+    """key, n_tokens, ids, round_trip of every row. round_trip: decoding the ids gives the text again.
 
+    kind: bpe for merge models, unigram for models that Viterbi decodes."""
+    path = path or tokenizer_path(MODEL_FILE)
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
-def fold_merges(unit: Column, known: Column) -> Column:
-    """Borders of the symbols of a unit after all merges. known: map from k to v, as in lattice()."""
+    def run(batches):
+        codes = _codes(path, kind)
+        for batch in batches:
+            yield from _encoded(batch, codes)
 
-    def step(acc: Column, _: Column) -> Column:
-        # The best pair: least order, then leftmost. A pair without a piece is null and comes last.
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(acc.b) - 3),
-            lambda i: F.struct(F.coalesce(F.shiftright(known[F.get(acc.b, i) * 63 + F.get(acc.b, i + 2)], 21), F.lit(NO_PIECE).cast("bigint")).alias("o"), i.alias("i")),
-        )
-        merged = F.when(
-            (F.size(acc.b) >= 3) & ~acc.done,
-            F.get(
-                F.transform(
-                    F.array(F.array_min(pairs)),
-                    lambda x: F.when(x.o < NO_PIECE, F.struct(F.array_remove(acc.b, F.get(acc.b, x.i + 1)).alias("b"), F.lit(False).alias("done"))),
-                ),
-                0,
-            ),
-        )
-        return F.coalesce(merged, F.struct(acc.b.alias("b"), F.lit(True).alias("done")))
+    done = slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, n bigint, ids array<int>, ok boolean")
+    return done.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), "ids", F.col("ok").alias("round_trip"))
 
-    n = F.length(unit)
-    start = F.struct(F.sequence(F.lit(0), n).alias("b"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda acc: acc.b)
+
+def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", path: str | None = None) -> DataFrame:
+    """encoded with one more column, the text of its ids (null for null)."""
+    path = path or tokenizer_path(MODEL_FILE)
+    by_id = encoded.sparkSession.sparkContext.broadcast(load_pieces(path).by_id)
+
+    @F.arrow_udf("string")
+    def text_of(lists: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else decode_ids(v, by_id.value) for v in lists.to_pylist()], pa.string())
+
+    return encoded.withColumn(into, text_of(F.col(ids)))
+
+
+def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows with a column chunk to one row for each place s and length l of a chunk whose substring is a piece, or one character.
+
+    New columns: s, l, id and score (null without a piece). The places of a chunk are its first STRETCH."""
+    table = rows.sparkSession.createDataFrame(list(pieces.rows), "piece string, id int, score double")
+    n = F.length("chunk")
+    starts = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(STRETCH)) - 1)))
+    subs = starts.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))))
+    subs = subs.withColumn("sub", F.substring("chunk", F.col("s") + 1, F.col("l")))
+    return subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").where("id is not null or l = 1").drop("sub", "piece")
 
 
 def fold_viterbi(unit: Column, edges: Column) -> Column:
@@ -181,133 +264,27 @@ def fold_viterbi(unit: Column, edges: Column) -> Column:
     )
 
 
-def fold(lat: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
-    """(unit, edges) to (unit, ids)."""
-    if kind == "bpe":
-        ids_of = F.map_from_entries("edges")
-    else:
-        ids_of = F.map_from_entries(F.transform("edges", lambda x: F.struct((x.s * 64 + x.l).alias("k"), x.id.cast("bigint").alias("v"))))
-    known = lat.withColumn("known", ids_of)
-    cut = fold_merges(F.col("unit"), F.col("known")) if kind == "bpe" else fold_viterbi(F.col("unit"), F.col("edges"))
-    known = known.withColumn("b", cut)
-
-    def code(i: Column) -> Column:
-        s, e = F.get("b", i), F.get("b", i + 1)
-        got = F.col("known")[s * 63 + e]
-        return F.when(got.isNotNull(), F.array((got % (1 << 21)).cast("int"))).otherwise(_bytes_of(F.substring("unit", s + 1, F.lit(1)), pieces.bytes_from))
-
-    return known.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), code)).alias("ids"))
-
-
-class Merger:
-    """Merges of one unit with a heap and a linked list, for units too long for the fold."""
-
-    def __init__(self, pieces: Pieces):
-        self.score = {p: (s, i) for p, i, s in pieces.rows}
-        self.first = pieces.bytes_from
-
-    def ids(self, unit: str) -> list[int]:
-        sym = list(unit)
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(-f[0], i, sym[i] + sym[i + 1]) for i in range(n - 1) if (f := self.score.get(sym[i] + sym[i + 1]))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i] if sym[i] is not None else n
-            if j >= n or sym[i] + sym[j] != both:
-                continue
-            sym[i], sym[j] = both, None
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if f := self.score.get(both + sym[k]):
-                    heapq.heappush(heap, (-f[0], i, both + sym[k]))
-            if (h := before[i]) >= 0 and (f := self.score.get(sym[h] + both)):
-                heapq.heappush(heap, (-f[0], h, sym[h] + both))
-        out = []
-        for s in sym:
-            if s is not None:
-                out += [f[1]] if (f := self.score.get(s)) else [self.first + b for b in s.encode()]
-        return out
-
-
-@lru_cache(maxsize=2)
-def _merger(path: str) -> Merger:
-    return Merger(load_pieces(path))
-
-
-def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """units(unit), different ones, to (unit, ids)."""
-    pieces = load_pieces(path)
-    short = fold(lattice(units.where(F.length("unit") <= LONG), pieces), pieces)
-
-    def heap(batches):
-        merger = _merger(path)
-        for batch in batches:
-            got = pa.array([merger.ids(u) for u in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["unit", "ids"])
-
-    long = units.where(F.length("unit") > LONG).mapInArrow(heap, "unit string, ids array<int>")
-    return short.unionByName(long)
-
-
-def decode_ids(ids: list[int] | np.ndarray, by_id: tuple[bytes, ...]) -> str:
-    """Text of a list of ids, without the first word mark."""
-    raw = b"".join(map(by_id.__getitem__, ids))
-    return raw.removeprefix(b" ").decode("utf-8", "replace")
-
-
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key, n_tokens, ids, round_trip of every row. round_trip: decoding the ids gives the text again."""
-    path = path or tokenizer_path(MODEL_FILE)
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    dealt = docs.select(F.col(key).cast("bigint").alias("key"), t.alias("t"))
-    dealt = dealt.withColumn("bucket", _bucket(F.col("key"), F.col("t")))
-    found = F.array_distinct(F.regexp_extract_all(marked(F.col("t")), F.lit(UNIT_PATTERN), F.lit(0)))
-    pairs = stored(dealt.select("bucket", F.explode(found).alias("unit")).distinct())
-    codes = stored(encode_units(pairs.select("unit").distinct(), path))
-    mine = pairs.join(codes, "unit").select("bucket", "unit", "ids")
-    by_id = spark.sparkContext.broadcast(load_pieces(path).by_id)
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32())), ("ok", pa.bool_())])
-
-    def replace(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        units = right.column("unit").to_pylist()
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-        code = {}
-        if units:
-            raw = lists.values.to_numpy().astype("<i4").tobytes()
-            cut = (lists.offsets.to_numpy() * 4).tolist()
-            code = {u: raw[a:b] for u, a, b in zip(units, cut, cut[1:], strict=False)}
-        keys, counts, out, ok = [], [], [], []
-        for k, s in zip(left.column("key").to_pylist(), left.column("t").to_pylist(), strict=True):
-            got = np.frombuffer(b"".join(map(code.__getitem__, _UNITS.findall(MARK + s.replace(" ", MARK)))) if s else b"", dtype="<i4")
-            keys.append(k)
-            counts.append(len(got))
-            out.append(got)
-            ok.append(decode_ids(got.tolist(), by_id.value) == s)
-        ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-        values = pa.array(np.concatenate(out) if out else np.array([], dtype=np.int32), pa.int32())
-        return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, values), pa.array(ok, pa.bool_())], schema=schema)
-
-    done = dealt.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(replace, "k bigint, n bigint, ids array<int>, ok boolean")
-    return done.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), "ids", F.col("ok").alias("round_trip"))
+def _bytes_of(char: Column, first: int) -> Column:
+    """Ids of the byte pieces of a character."""
+    digits = F.hex(char.cast("binary"))
+    return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda k: F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", path: str | None = None) -> DataFrame:
-    """encoded with one more column, the text of its ids (null for null)."""
-    path = path or tokenizer_path(MODEL_FILE)
-    by_id = encoded.sparkSession.sparkContext.broadcast(load_pieces(path).by_id)
+def viterbi_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """units(unit), different ones, to (unit, ids) of a unigram model: the lattice, grouped by unit, in a higher-order fold."""
+    n = F.length("unit")
+    parts = units.where(n > 0).select("unit", F.explode(F.sequence(F.lit(0), n - 1, F.lit(STRETCH))).alias("base"))
+    parts = parts.withColumn("chunk", F.substring("unit", F.col("base") + 1, F.lit(STRETCH + pieces.longest - 1)))
+    found = lattice(parts, pieces).withColumn("edge", F.when(F.col("id").isNotNull(), F.struct((F.col("base") + F.col("s")).alias("s"), "l", "score", "id")))
+    lat = found.groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+    lat = lat.withColumn("b", fold_viterbi(F.col("unit"), F.col("edges")))
 
-    @F.arrow_udf("string")
-    def text_of(lists: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else decode_ids(v, by_id.value) for v in lists.to_pylist()], pa.string())
+    def code(i: Column) -> Column:
+        s, e = F.get("b", i), F.get("b", i + 1)
+        known = F.filter("edges", lambda x: (x.s == s) & (x.s + x.l == e))
+        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0)).id)).otherwise(_bytes_of(F.substring("unit", s + 1, F.lit(1)), pieces.bytes_from))
 
-    return encoded.withColumn(into, text_of(F.col(ids)))
+    return lat.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), code)).alias("ids"))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
