@@ -1,11 +1,15 @@
-"""Connected components by alternating large-star and small-star rounds, all in Spark joins."""
+"""Connected components by alternating large-star and small-star rounds, all in Spark joins.
+
+Cases: null ends, loops and repeated edges change nothing; an empty table has no components; each round's table is
+deleted when the next one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import stored
+from pagewright.llm.common import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -41,7 +45,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         large = _stars(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), False)
         small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), True)
-        now = stored(small)
+        before, now = now, stored(small)
+        discard(before)
         was, mark = mark, _mark(now)
         if was == mark:
             break

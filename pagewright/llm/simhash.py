@@ -1,15 +1,17 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprint: 64 majority bits over the XXH64 (seed 42) of a text's word shingles, repeats included. Linking: a
-fingerprint is two 32-bit segments; it enumerates the Hamming ball of radius 1 within each segment, the other segment
-kept, and puts itself into the table at every such address. Two fingerprints meet at an address if and only if they
-differ in two bits or fewer, so the matches at an address are complete, an address holds 65 fingerprints at most, and
-a group of any size costs 65 rows for each different fingerprint instead of all its pairs. Each match is verified by
-its complete distance to the least fingerprint at the address; these links keep every component.
+fingerprint is two 32-bit segments; it enumerates the Hamming ball of radius 1 within each segment and puts itself into
+the table at every such address, the other segment kept. An address is thus a segment's neighbour together with the
+whole other segment, and not the segment alone: all fingerprints that share one segment would be one key, and their
+pairs grow with its square. Two fingerprints meet at an address if and only if they differ in two bits or fewer, so that
+the matches fetched there are complete, an address holds 65 fingerprints at most, and a group of any size costs 65 rows
+for each different fingerprint. Each match is checked by its complete distance to the least fingerprint at the address;
+these links keep every component.
 
 Cases: null and empty texts (or white space only) have fingerprint 0 and are linked like any other; fewer words than a
 shingle give one shingle; repeated rows stay repeated rows; a null doc_id keeps its row and never names a component
-unless all of it is null; an empty table gives an empty result; extra columns are not looked at.
+unless all of it is null; ids keep their type; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -98,17 +100,16 @@ def fingerprints_of(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> np.
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, fp bigint) of every row."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    """(key, fp bigint) of every row; key keeps its type."""
 
     def run(batches):
         for batch in batches:
             got = fingerprints_of(batch.column(1).to_pylist(), shingle_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["key", "fp"])
 
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("binary").alias("raw"))
-    return slim.mapInArrow(run, "key bigint, fp bigint")
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw"))
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, fp bigint")
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:

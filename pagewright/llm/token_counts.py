@@ -129,21 +129,19 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of every row. path: a byte-level BPE file with word ends."""
     path = path or tokenizer_path()
-    schema = pa.schema([("k", pa.int64()), ("b", pa.int64()), ("t", pa.int64())])
-
     def run(batches):
         counter = _counter(path)
         for batch in batches:
             counts = [counter.count(t.as_py()) if t.is_valid else 0 for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["k", "b", "t"])
 
     small_batches(docs.sparkSession)
     slim = docs.select(
-        F.col(key).cast("bigint").alias("k"),
+        F.col(key).alias("k"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("b"),
         F.col(text).cast("string").alias("s"),
     )
-    return slim.mapInArrow(run, "k bigint, b bigint, t bigint").select(
+    return slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, b bigint, t bigint").select(
         F.col("k").alias(key), F.col("b").alias("n_bytes"), F.col("t").alias("n_tokens"), (F.col("t") > limit).alias("over_limit")
     )
 
