@@ -1,24 +1,25 @@
-"""Repeated passages by distributed prefix doubling over synchronised positions.
+"""Repeated passages by prefix doubling over synchronised positions, a reduced form of a distributed suffix array.
 
 A rank of a position at a length stands for the string of that length that starts there. Doubling joins the ranks of
 two positions at a growing offset into the rank at the sum: 1, 2, 4, 8, 16, 25 and at last 50 bytes, the threshold.
-Ranks are named by 64-bit hashes of rank pairs instead of places in one global order, so that a document computes its
-own rank pairs and Spark only has to group equal ones (an exchange and a sort or hash of (rank, document) rows).
-Positions drop out as soon as their rank is found in one document only:
+Full prefix doubling keeps one (rank, rank) row a position at each length; one such row a byte is some 30 times the
+input before the first sort. So ranks are named by 64-bit hashes of rank pairs instead of places in one global order: a document
+computes its own rank pairs, and Spark groups equal ones where two documents have to meet. Positions drop out as soon
+as their rank is found in one document only:
 
 1. at 25 bytes, for synchronised positions alone: any 50-byte string holds 26 strings of 25 bytes, and the least rank
    among them depends on the string only. Runs of neighbouring 50-byte strings with the same least rank are one item.
-2. runs whose rank two documents share go on with the rank of the whole run (both its outer 50-byte ranks and its
-   length): a run that stands in an earlier document as it is goes altogether.
+   The ranks that two documents share are joined back to their documents.
+2. runs whose rank is shared go on with the rank of the whole run (both its outer 50-byte ranks and its length): a run
+   that stands in an earlier document as it is goes altogether.
 3. first runs whose 25-byte rank has different surroundings elsewhere go on to the ranks of each 50-byte string.
 
-Equal strings get equal ranks, so nothing is missed. A wrong match needs two 64-bit ranks to collide at once. Which
-positions go on is told to the documents by bit fields of a fixed size; a field that is full lets too many positions
-through and costs time, never a result.
+Equal strings get equal ranks, so nothing is missed. A wrong match needs two 64-bit ranks to collide at once, or, for
+rows of one id, 32 bits of their texts' hashes. All selection is by equi-joins, whatever the table's size.
 
 Cases: a null text is empty; a null id neither loses bytes nor takes them from others; rows with equal ids don't take
 from each other; texts of any length are read in blocks that overlap; an empty table gives an empty result; extra
-columns are not looked at. Grouping is by partial aggregation and skew-split joins, a document's spans are its own.
+columns are not looked at. Grouping is by partial aggregation and skew-split joins, a document's lists are its own.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import discard, small_batches, stored
+from pagewright.llm.common import discard, settings, small_batches, stored
 
 THRESHOLD = 50
 HALF = 25
 BLOCK = 1 << 18
-FIELD_BITS = 28
 LONGEST_RUN = 50
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S31, _S33, _S29, _S32 = np.uint64(31), np.uint64(33), np.uint64(29), np.uint64(32)
@@ -73,7 +74,8 @@ def _least(half: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of a stretch of several documents: least rank, document, first place and number of strings."""
 
-    def __init__(self, parts: list[tuple[int, int, int, bytes]], last: bool):
+    def __init__(self, parts: list[tuple[int, int, int, bytes]], last: bool, lists: list[np.ndarray]):
+        self.listed = lists[0] if len(lists) == 1 else np.sort(np.concatenate([np.empty(0, np.int64), *lists]))
         data = np.frombuffer(b"".join(p[3] for p in parts), dtype=np.uint8)
         sizes = np.array([len(p[3]) for p in parts])
         ends = np.cumsum(sizes)
@@ -105,29 +107,67 @@ class Runs:
         base = np.array([p[2] for p in parts], dtype=np.int64) - (ends - sizes)
         self.start = self.at + base[owner]
 
+    def is_listed(self) -> np.ndarray:
+        rank = self.rank.view(np.int64)
+        at = np.searchsorted(self.listed, rank)
+        return (at < len(self.listed)) & (self.listed[np.minimum(at, len(self.listed) - 1)] == rank) if len(self.listed) else np.zeros(len(rank), bool)
+
     def around(self) -> np.ndarray:
         """Rank of the whole run."""
         return _pair(self.whole[self.at], self.whole[self.at + self.count - 1]) + self.count.astype(np.uint64) * _C1
 
 
 def _stretches(batches, last: bool) -> Iterator[Runs]:
-    """Batches of (key, row, bytes) as runs, a bounded number of bytes at a time; long texts in blocks that overlap."""
-    parts, held = [], 0
+    """Batches of (key, row, bytes) as runs, a bounded number of bytes at a time; long texts in blocks that overlap.
+
+    A fourth column, lists of ranks, goes along: whether a rank is listed doesn't depend on the document."""
+    parts, lists, held = [], [], 0
     for batch in batches:
-        for key, row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        ranks_of = _lists(batch.column(3)) if batch.num_columns > 3 else None
+        for i, (key, row, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
             text = raw.as_py() if key is not None and raw.is_valid else b""
             for start in range(0, max(0, len(text) - THRESHOLD + 1), BLOCK):
                 piece = text[start : start + BLOCK + THRESHOLD - 1]
                 parts.append((key, row, start, piece))
+                if ranks_of is not None:
+                    lists.append(ranks_of[i])
                 held += len(piece)
                 if held >= BLOCK:
-                    if not (runs := Runs(parts, last)).empty:
+                    if not (runs := Runs(parts, last, lists)).empty:
                         yield runs
-                    parts, held = [], 0
-    if parts and not (runs := Runs(parts, last)).empty:
+                    parts, lists, held = [], [], 0
+    if parts and not (runs := Runs(parts, last, lists)).empty:
         yield runs
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of lists of bigint, none of them null, each in rising order."""
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy())))
+    values = column.flatten().to_numpy()
+    return [np.sort(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _strings(batches, most: int = 8192) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of (key, row, bytes, places) to (doc, row, start, rank) of each string of THRESHOLD bytes in the runs at these places."""
+    for batch in batches:
+        docs, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        raw = batch.column(2).cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset :]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)
+        places = batch.column(3).flatten().to_numpy()
+        owner = np.repeat(np.arange(len(docs)), pc.list_value_length(batch.column(3)).to_numpy())
+        for low in range(0, len(places), most):
+            mine = owner[low : low + most]
+            start, count = places[low : low + most] >> 6, places[low : low + most] & 63
+            # The runs' bytes one after the other; each run's strings begin at its first `count` bytes.
+            size = count + THRESHOLD - 1
+            first = np.cumsum(size) - size
+            whole = ranks(data[np.repeat(ends[mine] + start - first, size) + np.arange(size.sum())], True)[1]
+            run = np.repeat(np.arange(len(mine)), count)
+            at = np.arange(len(run)) + (first - (np.cumsum(count) - count))[run]
+            yield docs[mine][run], rows[mine][run], (start - first)[run] + at, whole[at]
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
@@ -141,96 +181,81 @@ def _schema(*names: str) -> tuple[pa.Schema, str]:
     return pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} bigint" for n in names)
 
 
-def bit_field(values: DataFrame, column: str, bits: int = FIELD_BITS) -> bytes:
-    """Bits of the low parts of a bigint column: 2 ** bits of them, whatever the table's size."""
-    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-    powers = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)])
-    bit = F.element_at(powers, (place.bitwiseAND(F.lit(63).cast("bigint")) + 1).cast("int"))
-    rows = values.select(F.shiftrightunsigned(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    field = np.zeros(1 << (bits - 6), dtype=np.int64)
-    rows = stored(rows)  # at most 2 ** (bits - 6) rows
-    table = rows.toArrow()
-    discard(rows)
-    field[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    return field.tobytes()
-
-
-def _in_field(field: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values & np.uint64((len(field) << 6) - 1)
-    return (field[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _first_key(rank, around, doc):
-    """Names a run of a document, the same here and in first_key_column()."""
-    return rank ^ (around << np.uint64(1)) ^ (doc.view(np.uint64) << np.uint64(5))
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, row (32 bits of the text's hash, by which rows of one id are told apart), both in one number, and the text's bytes."""
+    raw = F.col(text).cast("binary")
+    row = F.xxhash64(raw).bitwiseAND(F.lit((1 << 32) - 1))
+    return docs.select(F.col(key).cast("bigint").alias("key"), row.alias("row"), F.xxhash64(F.col(key).cast("bigint"), row).alias("node"), raw.alias("raw")).where("key is not null and raw is not null")
 
 
-def _first_key_column() -> Column:
-    return F.col("rank").bitwiseXOR(F.shiftleft("around", 1)).bitwiseXOR(F.shiftleft("doc", 5))
+def _with_lists(slim: DataFrame, lists: DataFrame) -> DataFrame:
+    """The texts that lists(of, a) names, each beside its list. Texts that it doesn't name are left out."""
+    return slim.join(lists, slim.node == lists.of).select("key", "row", "raw", "a")
 
 
-def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.col(text).cast("binary")).alias("row"), F.col(text).cast("binary").alias("raw"))
+def _gathered(rows: DataFrame, column: str) -> DataFrame:
+    """rows(node, ...) to (of, a), the list of a column's values for each node, stored. Lists are short: no sort before it has to be."""
+    with settings(rows.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000"}):
+        return stored(rows.groupBy(F.col("node").alias("of")).agg(F.collect_list(column).alias("a")))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, row, start, n): bytes that 50-byte strings of earlier documents cover; spans may overlap.
 
-    row is the hash of the text: rows with equal ids are told apart by it."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    small_batches(spark)
+    row is a hash of the text: rows with equal ids are told apart by it."""
+    small_batches(docs.sparkSession)
     slim = _slim(docs, key, text)
 
-    schema1, ddl1 = _schema("rank", "doc")
+    schema1, ddl1 = _schema("rank", "node")
 
     def first(batches):
         for runs in _stretches(batches, False):
-            order = np.lexsort((runs.doc, runs.rank))
-            rank, doc = runs.rank[order], runs.doc[order]
-            new = np.concatenate(([True], rank[1:] != rank[:-1]))
-            end = np.concatenate((new[1:], [True]))
-            keep = new | (end & (doc != doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]))
-            yield from _rows([rank[keep], doc[keep]], schema1)
-
-    shared = slim.mapInArrow(first, ddl1).groupBy("rank").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("rank")
-    field1 = sc.broadcast(bit_field(shared, "rank"))
+            # runs.row is the node here
+            order = np.lexsort((runs.row, runs.rank))
+            rank, node = runs.rank[order], runs.row[order]
+            new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (node[1:] != node[:-1])))
+            yield from _rows([rank[new], node[new]], schema1)
+
+    # 25 bytes: ranks in one document only drop out; the others go back to their documents.
+    half = stored(slim.select("key", "node", "raw").mapInArrow(first, ddl1))
+    shared = stored(half.groupBy("rank").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("rank"))
+    mine = _gathered(half.join(shared, "rank"), "rank")
+    discard(half)
+    discard(shared)
 
     schema2, ddl2 = _schema("rank", "around", "doc", "row", "place")
 
     def second(batches):
-        field = np.frombuffer(field1.value, dtype=np.uint64)
         for runs in _stretches(batches, True):
-            keep = _in_field(field, runs.rank)
+            keep = runs.is_listed()
             around = runs.around()
             yield from _rows([runs.rank[keep], around[keep], runs.doc[keep], runs.row[keep], (runs.start * 64 + runs.count)[keep]], schema2)
 
-    runs = stored(slim.mapInArrow(second, ddl2))
-    least = runs.groupBy("rank", "around").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    later = runs.join(least.where("lo < hi"), ["rank", "around"]).where("doc > lo")
-    whole = stored(later.select("doc", "row", F.shiftright("place", 6).alias("start"), (F.col("place") % 64 + THRESHOLD - 1).alias("n")))
-
-    # Ranks with different surroundings: their first runs are compared string by string.
-    least = least.drop("hi")
-    mixed = least.groupBy("rank").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("a <> b and lo < hi")
-    firsts = least.join(mixed.select("rank"), "rank").withColumnRenamed("lo", "doc")
-    field2 = sc.broadcast(bit_field(firsts.select(_first_key_column().alias("k")), "k"))
-
-    schema3, ddl3 = _schema("rank", "string", "doc", "row", "start")
+    # Whole runs: one that an earlier document has, too, goes altogether. Of ranks with different surroundings in
+    # different documents, the first runs are compared string by string.
+    runs = stored(_with_lists(slim, mine).mapInArrow(second, ddl2))
+    discard(mine)
+    least = stored(runs.groupBy("rank", "around").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    mixed = least.groupBy("rank").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("lo").alias("least"), F.max("lo").alias("most")).where("a <> b and least < most")
+    marked = least.join(mixed.select("rank", F.lit(True).alias("mixed")), "rank", "left").where("mixed or lo < hi")
+    found = runs.join(marked, ["rank", "around"]).where("doc > lo or mixed")
+    found = stored(found.select("doc", "row", "place", (F.col("doc") > F.col("lo")).alias("whole")))
+    discard(runs)
+    discard(least)
+    whole = found.where("whole").select("doc", "row", F.shiftright("place", 6).alias("start"), (F.col("place") % 64 + THRESHOLD - 1).alias("n"))
+    places = _gathered(found.where("not whole").withColumn("node", F.xxhash64("doc", "row")), "place")
+
+    schema3, ddl3 = _schema("string", "doc", "place")
 
     def third(batches):
-        field = np.frombuffer(field2.value, dtype=np.uint64)
-        for runs in _stretches(batches, True):
-            keep = np.flatnonzero(_in_field(field, _first_key(runs.rank, runs.around(), runs.doc)))
-            count = runs.count[keep]
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(runs.at[keep], count) + step
-            yield from _rows([np.repeat(runs.rank[keep], count), runs.whole[at], np.repeat(runs.doc[keep], count), np.repeat(runs.row[keep], count), np.repeat(runs.start[keep], count) + step], schema3)
-
-    discard(runs)  # read by nothing from here on
-    strings = stored(slim.mapInArrow(third, ddl3))
-    first_at = stored(strings.groupBy("rank", "string").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("rank", "string", "lo"))
-    single = stored(strings.join(first_at, ["rank", "string"]).where("doc > lo").select("doc", "row", "start", F.lit(THRESHOLD).cast("bigint").alias("n")))
+        for doc, row, start, string in _strings(batches):
+            yield from _rows([string, doc, (row << 31) | start], schema3)
+
+    strings = stored(_with_lists(slim, places).mapInArrow(third, ddl3))
+    discard(places)
+    first_at = stored(strings.groupBy("string").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("string", "lo"))
+    later = strings.join(first_at, "string").where("doc > lo")
+    single = stored(later.select("doc", F.shiftrightunsigned("place", 31).alias("row"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).alias("start"), F.lit(THRESHOLD).cast("bigint").alias("n")))
     discard(strings)
     discard(first_at)
     return whole.unionByName(single)
@@ -238,8 +263,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes) of every row."""
-    spans = stored(repeated_spans(docs, key, text).groupBy("doc", F.col("row").alias("own")).agg(F.collect_list("start").alias("a"), F.collect_list("n").alias("n")))
-    own = _slim(docs, key, text)
+    spans = repeated_spans(docs, key, text)
+    with settings(docs.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000"}):
+        spans = stored(spans.groupBy("doc", F.col("row").alias("own")).agg(F.collect_list("start").alias("a"), F.collect_list("n").alias("n")))
+    raw = F.col(text).cast("binary")
+    own = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(raw).bitwiseAND(F.lit((1 << 32) - 1)).alias("row"), raw.alias("raw"))
     joined = own.join(spans, (own.key == spans.doc) & (own.row == spans.own), "left").select("key", "raw", "a", "n")
     fields = [("k", pa.int64()), ("b", pa.int64()), ("r", pa.int64()), ("s", pa.int64()), ("h", pa.string())] + [("kept", pa.binary())] * with_text
     schema = pa.schema(fields)
