@@ -26,6 +26,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("long_words", "word_chars > 16 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("duplicate_lines", "n_lines > 4 and 100 * n_dup_lines > 50 * n_lines"),
+    ("no_words", "n_words = 0"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = ("too_few_words", "repeated_windows")
@@ -46,6 +47,8 @@ class Policy:
 POLICIES = {
     "base-1": Policy("base-1", BASE),
     "full-1": Policy("full-1", tuple(name for name, _ in RULES)),
+    # For filtering: a short text isn't a bad one.
+    "clean-1": Policy("clean-1", tuple(name for name, _ in RULES if name != "too_few_words")),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs")
 
@@ -56,13 +59,16 @@ def _lost(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFrame:
-    """docs with one more column, a struct of the measurements and fail_bits (bit by place in RULES)."""
+    """docs with one more column, a struct of the measurements and fail_bits (bit by place in RULES).
+
+    It is called `into`, with an underscore before it as long as docs has a column of that name."""
+    into = fresh(docs, into)
     t, w, ln, win, srt = (fresh(docs, n) for n in ("_t", "_w", "_l", "_win", "_sorted"))
     own = docs.columns
     at = lambda arr, i: F.get(F.col(arr), i)
     df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumns({w: words(F.col(t)), ln: F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(WORD_CLASS))})
-    # Windows of three words by hash; two different windows of one text meet with a chance under 1e-10.
+    # Windows of three words by hash, which finds texts that may repeat one.
     df = df.withColumn(
         win,
         F.when(
@@ -75,10 +81,11 @@ def measure(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFr
         srt,
         F.when(
             F.size(F.array_distinct(win)) < F.size(win),
-            F.sort_array(F.transform(F.col(win), lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform(F.col(win), lambda h, i: F.struct(h.alias("h"), F.hash(at(w, i), at(w, i + 1), at(w, i + 2)).alias("g"), i.alias("i")))),
         ),
     )
-    same = lambda x, i: (at(srt, i).h == x.h) & (at(srt, i).i != x.i)
+    # Windows are equal if two hashes of them are, 96 bits together.
+    same = lambda x, i: (at(srt, i).h == x.h) & (at(srt, i).g == x.g) & (at(srt, i).i != x.i)
     starts = F.filter(
         F.col(srt),
         lambda x, i: F.coalesce(F.when(i > 0, same(x, i - 1)), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)),
@@ -137,7 +144,7 @@ def compare_policies(ledger: DataFrame, policies: list[Policy], bits: str = "fai
     )
 
 
-def filter_quality(docs: DataFrame, policy: Policy = POLICIES["full-1"], text: str = "text") -> DataFrame:
+def filter_quality(docs: DataFrame, policy: Policy = POLICIES["clean-1"], text: str = "text") -> DataFrame:
     """The rows of docs that fail no rule of the policy, with the columns of docs."""
     into = fresh(docs, "ledger")
     return fenced(measure(docs, text, into), kept(F.col(into).fail_bits, policy)).select(*docs.columns)
@@ -174,7 +181,21 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(
 b AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
         + 4 * (n_words > 0 AND 10 * n_symbols > 3 * n_words)::BIGINT + 8 * (n_words > 0 AND 10 * n_bangs > 5 * n_words)::BIGINT
         + 16 * (word_chars > 16 * n_words)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT
-        + 64 * (n_lines > 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT)::BIGINT AS fail_bits FROM m)
+        + 64 * (n_lines > 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT + 128 * (n_words = 0)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
   fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy does over all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ablations(measure(docs).select("ledger.fail_bits"), POLICIES["full-1"])
+
+
+QUALITY_ABLATIONS_SQL = f"""
+WITH l AS (SELECT fail_bits FROM ({OP4_SQL}) q),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {bit}::BIGINT)" for name, bit in BIT.items())}) v(rule, bit))
+SELECT rule, bit, (count(*) FILTER ((fail_bits & bit) <> 0))::BIGINT AS failed, (count(*) FILTER (fail_bits = bit))::BIGINT AS only_this,
+  (count(*) FILTER (fail_bits = 0 OR fail_bits = bit))::BIGINT AS kept_without FROM l, r GROUP BY rule, bit
+"""

@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+        "quality_ablations": quality.quality_ablations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.OP4_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op4_quality_rules": quality.OP4_SQL, "op9_url_filter": url_filter.OP9_SQL, "quality_ablations": quality.QUALITY_ABLATIONS_SQL}
