@@ -3,8 +3,8 @@
 import random
 
 from conftest import SF
-from test_near_copies import near, shingles
-from test_operators import brute_groups, words
+from pyspark.sql import functions as F
+from test_operators import brute_groups, edit_distance, mutated, words
 
 from pagewright.llm import line_dedup
 
@@ -27,19 +27,69 @@ def test_query_leaves_no_exact_repeats(spark):
     assert removed > 0
 
 
-def test_similar_long_lines(spark):
+def near_words(a, b):
+    """Two edits of whole words, in lines that both have LONG_WORDS or more."""
+    a, b = a.split(" "), b.split(" ")
+    return min(len(a), len(b)) >= line_dedup.LONG_WORDS and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2
+
+
+def test_long_lines_by_words(spark):
     rng = random.Random(31)
     lines = []
-    for _ in range(6):
-        base = words(rng, rng.randint(80, 130)).split()
+    for n in (19, 20, 21, 40, 80, 130):
+        base = words(rng, n).split()
         lines.append(" ".join(base))
-        for _ in range(3):
+        for k in range(5):
             copy = list(base)
-            for _ in range(rng.randint(1, 3)):
-                copy[rng.randrange(len(copy))] = f"replaced{rng.randint(0, 999)}"
+            for _ in range(1 + k % 3):
+                i = rng.randrange(len(copy))
+                rng.choice([lambda c=copy, i=i: c.pop(i), lambda c=copy, i=i: c.insert(i, "new"), lambda c=copy, i=i: c.__setitem__(i, f"replaced{rng.randint(0, 999)}")])()
             lines.append(" ".join(copy))
-    comp = brute_groups(list(enumerate(map(shingles, lines))), near)
+    short = lambda x: len(x.split(" ")) < line_dedup.LONG_WORDS
+    comp = brute_groups(list(enumerate(lines)), lambda a, b: near_words(a, b) or (short(a) and short(b) and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2))
     assert 3 < len(set(comp)) < len(lines) - 3
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r.doc_id for r in line_dedup.filter_lines(df).collect() if r.text}
     assert got == {i for i, c in enumerate(comp) if i == c}
+
+
+def test_hot_segments_of_words(spark, monkeypatch):
+    rng = random.Random(43)
+    head, tail = "one two three four five six seven".split(), "ten eleven twelve thirteen fourteen fifteen sixteen seventeen".split()
+    lines = {" ".join([*head, *(rng.choice("abc") for _ in range(rng.randint(6, 9))), *tail]) for _ in range(60)}
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and near_words(a, b)}
+    for most in (2, 1000):
+        monkeypatch.setattr(line_dedup, "HOT_KEY", most)
+        got = {(min(r), max(r)) for r in line_dedup.near_line_links(df, 2, line_dedup.WORDS).collect()}
+        assert got == want and want
+
+
+def test_hot_segments(spark, monkeypatch):
+    """Keys that many lines share, split once or more, against brute force."""
+    rng = random.Random(41)
+    heads, tails = ["Posted by the user ", "Written by a friend "], [" on the board, today", " in the forum."]
+    lines = set()
+    for _ in range(60):
+        line = rng.choice(heads) + "".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) + rng.choice(tails)
+        lines |= {line, mutated(rng, line, 2)}
+    lines = sorted(x for x in lines if len(x) >= line_dedup.MIN_CHARS and x == x.strip())
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
+    for most in (2, 10, 1000):
+        monkeypatch.setattr(line_dedup, "HOT_KEY", most)
+        got = {(min(r), max(r)) for r in line_dedup.near_line_links(df).collect()}
+        assert got == want and want
+
+
+def test_a_segment_of_very_many_lines(spark):
+    """Different lines that share a segment aren't compared each with each."""
+    n = 60_000
+    name = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 30)
+    lines = spark.range(n).select(F.col("id").alias("h"), F.concat(F.lit("Posted by user "), name).alias("line"))
+    live = line_dedup._live(lines.select("h", F.explode(line_dedup._entries(F.col("line"), 2, line_dedup.CHARACTERS)).alias("e")).select("h", "e.key", "e.own"))
+    assert live.groupBy("key").count().agg(F.max("count")).first()[0] == n
+    spread = line_dedup._spread(live, lines, 2, line_dedup.CHARACTERS).groupBy("key").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
+    assert (spread[0] or 0) <= line_dedup.HOT_KEY and (spread[1] or 0) < 40 * n
+    assert line_dedup.near_line_links(lines).count() == 0
