@@ -196,7 +196,7 @@ def _with_lists(slim: DataFrame, lists: DataFrame) -> DataFrame:
 def _gathered(rows: DataFrame, column: str) -> DataFrame:
     """rows(node, ...) to (of, a), the list of a column's values for each node, stored. Lists are short: no sort before it has to be."""
     with settings(rows.sparkSession, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000"}):
-        return stored(rows.groupBy(F.col("node").alias("of")).agg(F.collect_list(column).alias("a")))
+        return stored(rows.select(F.col("node").alias("of"), column).repartition("of").groupBy("of").agg(F.collect_list(column).alias("a")))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     slim = _slim(docs, key, text)
 
-    schema1, ddl1 = _schema("rank", "node")
+    schema1, ddl1 = _schema("rank", "node", "known")
 
     def first(batches):
         for runs in _stretches(batches, False):
@@ -214,14 +214,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             order = np.lexsort((runs.row, runs.rank))
             rank, node = runs.rank[order], runs.row[order]
             new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (node[1:] != node[:-1])))
-            yield from _rows([rank[new], node[new]], schema1)
+            rank, node = rank[new], node[new]
+            begins = np.concatenate(([True], rank[1:] != rank[:-1]))
+            ends = np.concatenate((begins[1:], [True]))
+            # A rank that two documents of this stretch share needs no more proof: all its rows are known, and two of
+            # them, whatever their number, stand for the stretch where ranks meet.
+            known = ~(begins & ends)
+            asked = begins | ends
+            yield from _rows([rank[asked], node[asked], np.zeros(asked.sum(), np.int64)], schema1)
+            yield from _rows([rank[known], node[known], np.ones(known.sum(), np.int64)], schema1)
 
     # 25 bytes: ranks in one document only drop out; the others go back to their documents.
     half = stored(slim.select("key", "node", "raw").mapInArrow(first, ddl1))
-    shared = stored(half.groupBy("rank").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("rank"))
-    mine = _gathered(half.join(shared, "rank"), "rank")
+    asked = half.where("known = 0").select("rank", "node").repartition("rank")  # one exchange for both sides
+    shared = asked.groupBy("rank").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("rank")
+    mine = _gathered(asked.join(shared.hint("merge"), "rank").unionByName(half.where("known = 1").select("rank", "node")), "rank")
     discard(half)
-    discard(shared)
 
     schema2, ddl2 = _schema("rank", "around", "doc", "row", "place")
 
