@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import scalars as S
+
 
 def rules(robots: DataFrame, agent: str) -> DataFrame:
     """robots(origin, status, text) to (origin, allow, pattern) of those origins that answered 200."""
@@ -25,11 +27,25 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
 
 
 def matches(pattern: Column, path: Column) -> Column:
-    """Prefix match with * for anything and a final $ for the end."""
+    """Prefix match with * for anything and a final $ for the end.
+
+    The pieces between stars are looked for from left to right, each behind the one before it: no step back is ever
+    needed, and hostile patterns cost one pass over the path a piece."""
     anchored = pattern.endswith("$")
     body = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    pieces = F.transform(F.split(body, r"\*"), lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return F.rlike(path, F.concat(F.lit("^"), F.array_join(pieces, ".*"), F.when(anchored, F.lit("$")).otherwise(F.lit(""))))
+
+    def behind(at: Column, piece: Column) -> Column:
+        found = F.position(piece, path, at + 1)
+        return F.when((at < 0) | (piece == ""), at).when(found > 0, found - 1 + F.length(piece)).otherwise(F.lit(-1))
+
+    def fits(pieces: Column) -> Column:
+        head, last, n = F.get(pieces, F.lit(0)), F.element_at(pieces, -1), F.size(pieces)
+        middle = F.slice(pieces, 2, F.greatest(F.when(anchored, n - 2).otherwise(n - 1), F.lit(0)))
+        at = F.aggregate(middle, F.when(path.startswith(head), F.length(head)).otherwise(F.lit(-1)), behind)
+        ends = path.endswith(last) & (F.length(path) - F.length(last) >= at)
+        return F.when(anchored & (n == 1), path == head).when(anchored, (at >= 0) & ends).otherwise(at >= 0)
+
+    return S.let(F.split(body, r"\*"), fits)
 
 
 def decide(urls: DataFrame, robots: DataFrame, agent: str, keys: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -76,6 +76,23 @@ ROBOTS = [
 ]
 
 
+def test_robots_patterns(spark):
+    """The left-to-right search against a regular expression."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("/ab*$") for _ in range(rng.randint(1, 7))), "/" + "".join(rng.choice("/ab$") for _ in range(rng.randint(0, 9)))) for _ in range(400)]
+    rows += [("/" + "*a" * 40 + "$", "/" + "a" * 3000 + "b"), ("*", "/x"), ("/*$", "/x"), ("$", "/"), ("/é*ö", "/é日ö")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "i int, p string, t string")
+    got = {r.i: r.m for r in df.select("i", robots.matches(F.col("p"), F.col("t")).alias("m")).collect()}
+    for i, (p, t) in enumerate(rows):
+        if p.count("*") < 40:
+            rx = ".*".join(map(re.escape, (p[:-1] if p.endswith("$") else p).split("*"))) + (r"\Z" if p.endswith("$") else "")
+            assert got[i] == bool(re.match(rx, t, re.S)), (p, t)
+    assert got[400] is False
+
+
 def test_robots(spark):
     table = spark.createDataFrame([(f"o{i}", 200, t) for i, (t, _, _) in enumerate(ROBOTS)] + [("s404", 404, ""), ("s500", 500, "")], "origin string, status int, text string")
     urls = spark.createDataFrame([(i, f"o{i}", p) for i, (_, p, _) in enumerate(ROBOTS)] + [(100, "s404", "/"), (101, "s500", "/"), (102, "none", "/")], "url int, origin string, path string")
