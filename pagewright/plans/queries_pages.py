@@ -40,14 +40,14 @@ PAGE_TITLE = r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extr
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse_pages(_raw(spark, sf_dir), keep=("page_id",)).select("page_id", F.length("text").cast("bigint").alias("n_chars"))
+    return parse.parse_pages(_raw(spark, sf_dir), keep=("page_id",)).select("page_id", "text")
 
 
 PAGE_TEXT = r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<nav>.*?</nav>|<!--.*?-->', '', 'g'), '(?s)<footer>.*$', '') AS h FROM pages),
-l AS (SELECT page_id, unnest(string_split(regexp_replace(h, '<[^>]*>', chr(10), 'g'), chr(10))) AS l FROM b),
-t AS (SELECT page_id, trim(regexp_replace(replace(replace(l, '&amp;', '&'), '&quot;', '"'), '[ \t]+', ' ', 'g')) AS l FROM l)
-SELECT page_id, (sum(length(l)) FILTER (l <> '') + count(*) FILTER (l <> '') - 1)::BIGINT AS n_chars FROM t GROUP BY page_id"""
+l AS (SELECT page_id, list_transform(string_split(regexp_replace(h, '<[^>]*>', chr(10), 'g'), chr(10)),
+  lambda x: trim(regexp_replace(replace(replace(x, '&amp;', '&'), '&quot;', '"'), '[ \t]+', ' ', 'g'))) AS l FROM b)
+SELECT page_id, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text FROM l"""
 
 
 def _made(spark: SparkSession, sf_dir: str, head: Column, body: Column, source: DataFrame | None = None) -> DataFrame:
