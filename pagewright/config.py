@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields, replace
 @dataclass(frozen=True)
 class EngineConfig:
     agent: str = "pagewright"
+    api_key: str = ""
     request_timeout: float = 15.0
     max_page_bytes: int = 2_000_000
     max_robots_bytes: int = 500_000

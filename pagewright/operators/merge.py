@@ -27,7 +27,7 @@ def first_of(cands: Column, field: str) -> Column:
 
 
 def _same(field: str, a: Column, b: Column) -> Column:
-    return S.price(a) == S.price(b) if field == "price" else F.lower(a) == F.lower(b)
+    return S.price(a) == S.price(b) if field == "price" else F.lower(F.upper(a)) == F.lower(F.upper(b))
 
 
 def pick(cands: Column, field: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,28 +53,34 @@ def ttl_cache(requests: DataFrame, key: str, at: str, ttl: float, ok: str | None
     return _scan(slim, "k", ["t", "o"], f"k {slim.schema['k'].dataType.simpleString()}, t double, hit boolean", run).select(F.col("k").alias(key), F.col("t").alias(at), "hit")
 
 
-def lru_cache(requests: DataFrame, cache: str, key: str, at: str, ttl: float, entries: int, order: str | None = None) -> DataFrame:
-    """(cache, key, at, hit) for caches of so many entries; state is one cache's entries."""
+def lru_cache(requests: DataFrame, cache: str, key: str, at: str, ttl: float, entries: int, order: str | None = None, ok: Column | None = None) -> DataFrame:
+    """(cache, key, at, hit, and order if given) for caches of so many entries; state is one cache's entries.
+
+    Requests of one time come by order; those that aren't ok put nothing."""
     by = ["t"] + (["o"] if order else [])
-    slim = requests.select(F.col(cache).cast("string").alias("c"), F.col(key).cast("string").alias("k"), F.col(at).cast("double").alias("t"), *([F.col(order).alias("o")] if order else []))
-    schema = pa.schema([("c", pa.string()), ("k", pa.string()), ("t", pa.float64()), ("hit", pa.bool_())])
+    slim = requests.select(
+        F.col(cache).cast("string").alias("c"), F.col(key).cast("string").alias("k"), F.col(at).cast("double").alias("t"), (F.lit(True) if ok is None else ok).alias("g"), *([F.col(order).alias("o")] if order else [])
+    )
 
     def run(batches):
         owner, held = object(), OrderedDict()
         for batch in batches:
             hits = []
-            for c, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for c, k, t, good in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if c != owner:
                     owner, held = c, OrderedDict()
                 hit = k in held and t - held[k] <= ttl
                 if hit:
                     held.move_to_end(k)
-                elif ttl > 0 and entries > 0:
+                else:
                     held.pop(k, None)
-                    held[k] = t
-                    if len(held) > entries:
-                        held.popitem(last=False)
+                    if good and ttl > 0 and entries > 0:
+                        held[k] = t
+                        if len(held) > entries:
+                            held.popitem(last=False)
                 hits.append(hit)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hits, pa.bool_())], schema=schema)
+            more = [batch.column(4)] if order else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(hits, pa.bool_()), *more], names=["c", "k", "t", "hit", *["o"] * len(more)])
 
-    return _scan(slim, "c", by, "c string, k string, t double, hit boolean", run).select(F.col("c").alias(cache), F.col("k").alias(key), F.col("t").alias(at), "hit")
+    ddl = "c string, k string, t double, hit boolean" + (f", o {slim.schema['o'].dataType.simpleString()}" if order else "")
+    return _scan(slim, "c", by, ddl, run).select(F.col("c").alias(cache), F.col("k").alias(key), F.col("t").alias(at), "hit", *([F.col("o").alias(order)] if order else []))

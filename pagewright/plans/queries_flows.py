@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.config import EngineConfig
 from pagewright.operators import admission, reports
-from pagewright.plans import extract
+from pagewright.plans import extract, serve
 from pagewright.plans.queries_pages import _made, _plain_rows, _price, _script, _t
 from pagewright.sources import fetch
 
@@ -249,7 +249,38 @@ def service_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SERVICE_STATE = "SELECT 'ok' AS status, count(*) AS cached_pages, true AS llm, false AS rendering FROM customer"
 
+
+
+def service_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests a page, 2,000 seconds apart, to sites that answer or don't, with keys that are right or wrong."""
+    k = F.col("page_id") % 5
+    pages = _t(spark, sf_dir, "pages").select("page_id")
+    host = lambda n: F.concat(F.lit(n), F.col("page_id").cast("string"), F.lit(".example.test"))
+    archive = pages.select(
+        F.concat(F.lit("https://"), host("h"), F.lit("/a")).alias("url"), F.when(k == 0, 404).otherwise(200).alias("status"), F.lit(None).cast("string").alias("location"),
+        F.lit("text/html").alias("content_type"), F.encode(F.concat(F.lit("<h1>N"), F.col("page_id").cast("string"), F.lit("</h1>")), "UTF-8").alias("body"),
+    )
+    each = pages.select("page_id", F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
+    spelled = F.when(F.col("j") == 1, F.concat(F.lit("HTTPS://"), host("H"), F.lit(":443/a#x"))).otherwise(F.concat(F.lit("https://"), host("h"), F.lit("/a")))
+    requests = each.select(
+        (F.col("page_id") * 3 + F.col("j")).alias("request_id"), F.when(k == 1, F.lit("")).otherwise(spelled).alias("url"), (F.col("j") * 2000.0).alias("at"),
+        F.when(k == 2, F.lit("wrong")).otherwise(F.lit("right")).alias("key"),
+    )
+    dns = pages.select(host("h").alias("host"), F.array(F.lit("93.184.216.34")).alias("ips"))
+    rules = pages.select(F.concat(F.lit("https://"), host("h")).alias("origin"), F.lit(404).alias("status"), F.lit("").alias("text"))
+    got = serve.respond(requests, dns, rules, archive, EngineConfig(api_key="right", cache_entries=10**9))
+    at = lambda path: F.get_json_object("body", f"$.{path}")
+    return got.select("request_id", F.col("status").cast("bigint").alias("status"), "x_cache", "start", at("name").alias("name"), at("error").alias("error"))
+
+
+SERVICE_RESPONSES = """
+WITH r AS (SELECT page_id, page_id % 5 AS k, unnest([0, 1, 2]) AS j FROM pages)
+SELECT page_id * 3 + j AS request_id, (CASE k WHEN 0 THEN 502 WHEN 1 THEN 422 WHEN 2 THEN 401 ELSE 200 END)::BIGINT AS status, CASE WHEN k > 2 THEN CASE WHEN j = 1 THEN 'HIT' ELSE 'MISS' END END AS x_cache,
+  CASE WHEN k = 0 OR (k > 2 AND j <> 1) THEN j * 2000.0::DOUBLE END AS start, CASE WHEN k > 2 THEN 'N' || page_id END AS name,
+  CASE k WHEN 0 THEN 'fetch_failed' WHEN 1 THEN 'invalid_request' WHEN 2 THEN 'unauthorized' END AS error FROM r"""
+
 QUERIES = {
+    "service_responses": (service_responses, SERVICE_RESPONSES),
     "offer_forms": (offer_forms, OFFER_FORMS), "page_choice": (page_choice, PAGE_CHOICE), "glued_prices": (glued_prices, GLUED_PRICES), "fetch_flow": (fetch_flow, FETCH_FLOW),
     "robots_memo": (robots_memo, ROBOTS_MEMO), "rendered_pages": (rendered_pages, RENDERED_PAGES), "sheet_notes": (sheet_notes, SHEET_NOTES), "warning_rows": (warning_rows, WARNING_ROWS),
     "json_rows": (json_rows, JSON_ROWS), "sheet_edit_rows": (sheet_edit_rows, SHEET_EDIT_ROWS), "request_checks": (request_checks, REQUEST_CHECKS), "service_state": (service_state, SERVICE_STATE),

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagewright.config import EngineConfig
 from pagewright.operators import reports
 
 
-def paced_stream(requests: DataFrame, host: str = "host", arrival: str = "arrival", interval: float = 1.0, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
+def paced_stream(requests: DataFrame, host: str = "host", arrival: str = "arrival", interval: float = EngineConfig.min_interval, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
     """requests(id, host, arrival timestamp) to (id, host, arrival, start): in each batch a host's requests go by time."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,7 @@ def paced_stream(requests: DataFrame, host: str = "host", arrival: str = "arriva
     return slim.groupBy("host").applyInPandasWithState(run, "id bigint, host string, arrival timestamp, start double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ttl_cache_stream(requests: DataFrame, key: str = "key", at: str = "at", ttl: float = 3600.0, late: str = "1 minute") -> DataFrame:
+def ttl_cache_stream(requests: DataFrame, key: str = "key", at: str = "at", ttl: float = EngineConfig.cache_ttl, late: str = "1 minute") -> DataFrame:
     """requests(id, key, at timestamp, ok boolean) to (id, key, hit): as operators.state.ttl_cache, batch by batch."""
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,6 +69,6 @@ def _unit(column: pd.Series) -> float:
     return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[getattr(column.dt, "unit", "ns")]
 
 
-def sheet_stream(edits: DataFrame, process, url_column: int, checkpoint: str, first_row: int = 2, most: int = 10):
+def sheet_stream(edits: DataFrame, process, url_column: int, checkpoint: str, first_row: int = EngineConfig.first_data_row, most: int = EngineConfig.sheet_rows_per_edit):
     """Start a query that hands each batch's accepted edits to process(DataFrame, batch id)."""
     return edits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: process(reports.sheet_edits(df, url_column, first_row, most), n)).start()
