@@ -49,7 +49,7 @@ def test_long_lines_by_words(spark):
     comp = brute_groups(list(enumerate(lines)), lambda a, b: near_words(a, b) or (short(a) and short(b) and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2))
     assert 3 < len(set(comp)) < len(lines) - 3
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r.doc_id for r in line_dedup.filter_lines(df).collect() if r.text}
+    got = {r.doc_id for r in line_dedup.filter_lines(df, by_words=True).collect() if r.text}
     assert got == {i for i, c in enumerate(comp) if i == c}
 
 
@@ -88,7 +88,7 @@ def test_a_segment_of_very_many_lines(spark):
     n = 60_000
     name = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 30)
     lines = spark.range(n).select(F.col("id").alias("h"), F.concat(F.lit("Posted by user "), name).alias("line"))
-    live = line_dedup._live(lines.select("h", F.explode(line_dedup._entries(F.col("line"), 2, line_dedup.CHARACTERS)).alias("e")).select("h", "e.key", "e.own"))
+    live = line_dedup._live(line_dedup._entries(lines, 2, line_dedup.CHARACTERS))
     assert live.groupBy("key").count().agg(F.max("count")).first()[0] == n
     spread = line_dedup._spread(live, lines, 2, line_dedup.CHARACTERS).groupBy("key").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
     assert (spread[0] or 0) <= line_dedup.HOT_KEY and (spread[1] or 0) < 40 * n
