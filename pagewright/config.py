@@ -23,6 +23,7 @@ class EngineConfig:
     llm_min_chars: int = 30
     render_enabled: bool = False
     render_below_chars: int = 200
+    unended_references: bool = True
     sheet_rows_per_edit: int = 10
     first_data_row: int = 2
     llm: Callable | None = None

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 _SPACE = re.compile(r"\s+")
 _MARKUP = re.compile(r"<[^>]+>")
+_UNENDED = re.compile("&(?=#?[A-Za-z0-9]+(?![A-Za-z0-9;]))")
 _META_CHARSET = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _HEADER_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 CHARSET_WINDOW = 4096
@@ -24,11 +25,19 @@ def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
-def clean_text(value: object, limit: int | None = None) -> str | None:
-    """Markup out, character references decoded, white space collapsed; nothing left is None."""
+def mask_unended(text: str, mask: str) -> str:
+    """text with mask for the & of each character reference that has no semicolon."""
+    return _UNENDED.sub(mask, text)
+
+
+def clean_text(value: object, limit: int | None = None, unended: bool = True) -> str | None:
+    """Markup out, character references decoded, white space collapsed; nothing left is None.
+
+    unended: also references without a semicolon, as the HTML standard does; otherwise these stay as written."""
     if value is None or isinstance(value, dict | list):
         return None
-    text = squeeze(html.unescape(_MARKUP.sub(" ", str(value))))
+    text = _MARKUP.sub(" ", str(value))
+    text = squeeze(html.unescape(text if unended else mask_unended(text, "&amp;")))
     if limit and len(text) > limit:
         kept, _, _ = text[:limit].rpartition(" ")
         text = (kept or text[:limit]).rstrip(" ,;:-") + "…"

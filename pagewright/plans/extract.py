@@ -22,7 +22,7 @@ def _batches(df: DataFrame) -> None:
 def merged_pages(pages: DataFrame, config: EngineConfig = EngineConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per page with the chosen candidates (f_<field>), notes, text and n_filled."""
     _batches(pages)
-    df = merge.merged(candidates.with_candidates(parse.parse_pages(pages, keep=keep)))
+    df = merge.merged(candidates.with_candidates(parse.parse_pages(pages, keep=keep, unended=config.unended_references)))
     df = gapfill.fill_gaps(df, config)
     return df.withColumn("n_filled", merge.n_filled())
 

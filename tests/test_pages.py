@@ -103,3 +103,24 @@ def test_pages_of_one_address(spark):
     assert got == {None: "12", "steel": None} and seen == [1]
     config = EngineConfig(render_enabled=True, render_below_chars=500, renderer=lambda wanted: wanted.selectExpr("url", "'<h1>Lamp</h1>' html", "cast(null as string) problem"))
     assert [r.name for r in extract.extract_pages(df, config).collect()] == ["Lamp", "Lamp"]
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    """Read as the HTML standard has it, but in the queries whose SQL leaves them as written."""
+    import duckdb
+
+    from pagewright.plans import catalog
+
+    page = "<html><head><title>{0}</title></head><body><nav>n</nav><article><h1>{0}</h1><p>{0}<p>see﷐</article><footer>f</footer></body></html>"
+    cut = ["A &amp; B&amp", "A&am", "A&", "A &quot", "&quot;A&quot; &amp", "A &amp B", "A&#38", "A &copy 1"]
+    df = spark.createDataFrame([(i, f"{URL}{i}", page.format(c)) for i, c in enumerate(cut)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_products",):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert rows(spark, [page.format(cut[0])])[f"{URL}0"].name == "A & B&"
+    link = parse.dom.Tree('<a href="?a=1&copy=2">x&amp</a><script>a&amp&lt;</script>', False)
+    assert link.nodes[0].get("href") == "?a=1&copy=2" and [n.kids for n in link.nodes] == [["x&amp"], ["a&amp&lt;"]]
