@@ -16,7 +16,7 @@ unless all of it is null; ids keep their type; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -72,7 +72,12 @@ def _histograms(hashes: list[np.ndarray], owner: list[int], n: int) -> np.ndarra
 
 def fingerprints_of(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> np.ndarray:
     """Fingerprints as uint64."""
-    counts, totals = np.zeros((len(texts), 64)), np.zeros(len(texts))
+    return fingerprints_from([shingle_hashes(raw or b"", size) for raw in texts])
+
+
+def fingerprints_from(blocks_of: list[Iterable[np.ndarray]]) -> np.ndarray:
+    """Fingerprints as uint64, from each text's hashes in blocks."""
+    counts, totals = np.zeros((len(blocks_of), 64)), np.zeros(len(blocks_of))
     held: list[np.ndarray] = []
     owner: list[int] = []
     waiting = 0
@@ -86,8 +91,8 @@ def fingerprints_of(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> np.
             owner.clear()
             waiting = 0
 
-    for i, raw in enumerate(texts):
-        for block in shingle_hashes(raw or b"", size):
+    for i, blocks in enumerate(blocks_of):
+        for block in blocks:
             held.append(block)
             owner.append(i)
             totals[i] += len(block)

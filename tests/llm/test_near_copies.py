@@ -56,3 +56,29 @@ def test_on_documents(spark):
     sets = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
     want = Counter(k for (k, _), c in zip(sets, brute_groups(sets, near), strict=True) if k == c)
     assert Counter(r.doc_id for r in near_copies.keep_one(docs).select(F.col("doc_id")).collect()) == want
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """What two fingerprints link needs no other way; pairs they name wrongly don't pass; the others are found without them."""
+    rng = random.Random(23)
+    base = words(rng, 400).split()
+    near_rows = [(i, " ".join(base[:399] + [f"new{i}"])) for i in range(6)]
+    seen = []
+    links_of = near_copies.fingerprint_links
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda fps: seen.append(fps.count()) or links_of(fps))
+    df = table(spark, near_rows + [(9, words(rng, 60))])
+    assert [r.doc_id for r in near_copies.keep_one(df).orderBy("doc_id").collect()] == [0, 9] and seen and seen[0] > 1
+    a, b = (shingle for shingle in (near_copies.shingle_set(t.encode()) for _, t in near_rows[:2]))
+    bits = lambda x: sum((int(v) & (1 << 64) - 1) << 64 * k for k, v in enumerate(near_copies.parities(x)))
+    apart = len(set(a.tolist()) ^ set(b.tolist()))
+    assert 0 < (bits(a) ^ bits(b)).bit_count() <= apart
+
+
+def test_common_passage(spark):
+    """Texts that share one passage and little else are grouped as brute force has it; the parity filter drops no pair."""
+    rng = random.Random(24)
+    passage = words(rng, 60)
+    rows = [(i, f"{passage} {words(rng, 14)}") for i in range(120)]
+    sets = [(k, shingles(t)) for k, t in rows]
+    want = Counter(k for (k, _), c in zip(sets, brute_groups(sets, near), strict=True) if k == c)
+    assert Counter(r.doc_id for r in near_copies.keep_one(table(spark, rows)).collect()) == want
