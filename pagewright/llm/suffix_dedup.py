@@ -1,15 +1,16 @@
 """Repeated passages by prefix doubling over synchronised positions, a reduced form of a distributed suffix array.
 
 A rank of a position at a length stands for the string of that length that starts there. Doubling joins the ranks of
-two positions at a growing offset into the rank at the sum: 1, 2, 4, 8, 16, 25 and at last 50 bytes, the threshold.
+two positions at a growing offset into the rank at the sum: 8, 16, 25 and at last 50 bytes, the threshold. Up to 8 bytes
+a string is its own rank.
 Full prefix doubling keeps one (rank, rank) row a position at each length; one such row a byte is some 30 times the
 input before the first sort. So ranks are named by 64-bit hashes of rank pairs instead of places in one global order: a document
-computes its own rank pairs, and Spark groups equal ones where two documents have to meet. Positions drop out as soon
+computes its own rank pairs, and Spark sorts or groups equal ones where two documents have to meet. Positions drop out as soon
 as their rank is found in one document only:
 
 1. at 25 bytes, for synchronised positions alone: any 50-byte string holds 26 strings of 25 bytes, and the least rank
    among them depends on the string only. Runs of neighbouring 50-byte strings with the same least rank are one item.
-   The ranks that two documents share are joined back to their documents.
+   Ranks are sorted and compared with their neighbours; those that two documents share go back to their documents.
 2. runs whose rank is shared go on with the rank of the whole run (both its outer 50-byte ranks and its length): a run
    that stands in an earlier document as it is goes altogether.
 3. first runs whose 25-byte rank has different surroundings elsewhere go on to the ranks of each 50-byte string.
@@ -38,6 +39,7 @@ from pagewright.llm.common import discard, settings, small_batches, stored
 THRESHOLD = 50
 HALF = 25
 BLOCK = 1 << 18
+PIECE = 1 << 14  # positions that are ranked at once, so that the steps between stay in a core's cache
 LONGEST_RUN = 50
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S31, _S33, _S29, _S32 = np.uint64(31), np.uint64(33), np.uint64(29), np.uint64(32)
@@ -46,29 +48,45 @@ _S31, _S33, _S29, _S32 = np.uint64(31), np.uint64(33), np.uint64(29), np.uint64(
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rank of a rank pair."""
     x = b * _C2
-    x = (x << _S31) | (x >> _S33)
-    x += a * _C1
-    x ^= x >> _S29
+    y = x >> _S33
+    x <<= _S31
+    x |= y
+    np.multiply(a, _C1, out=y)
+    x += y
+    np.right_shift(x, _S29, out=y)
+    x ^= y
     x *= _C3
-    x ^= x >> _S32
+    np.right_shift(x, _S32, out=y)
+    x ^= y
     return x
 
 
 def ranks(data: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Ranks at HALF bytes and, if last, at THRESHOLD bytes, of all positions of data that have so many."""
-    r = (data.astype(np.uint64) + np.uint64(1)) * _C3
-    for offset in (1, 2, 4, 8):
-        r = _pair(r[:-offset], r[offset:])
-    half = _pair(r[: len(r) - 9], r[9:])  # 16 bytes here and 16 bytes at offset 9
-    return half, _pair(half[:-HALF], half[HALF:]) if last else None
+    half = np.empty(max(0, len(data) - HALF + 1), np.uint64)
+    for k in range(0, len(half), PIECE):
+        piece = data[k : k + PIECE + HALF - 1]
+        eight = np.ndarray((len(piece) - 7,), "<u8", piece, strides=(1,)).copy()  # the bytes themselves, as a number
+        r = _pair(eight[:-8], eight[8:])
+        half[k : k + PIECE] = _pair(r[:-9], r[9:])  # 16 bytes here and 16 bytes at offset 9
+    if not last:
+        return half, None
+    whole = np.empty(max(0, len(half) - HALF), np.uint64)
+    for k in range(0, len(whole), PIECE):
+        end = min(k + PIECE, len(whole))
+        whole[k:end] = _pair(half[k:end], half[k + HALF : end + HALF])
+    return half, whole
 
 
 def _least(half: np.ndarray) -> np.ndarray:
     """The least of the 26 ranks inside each string of THRESHOLD bytes."""
-    m = half
-    for offset in (1, 2, 4, 8):
-        m = np.minimum(m[:-offset], m[offset:])
-    return np.minimum(m[:-10], m[10:])
+    least = np.empty(max(0, len(half) - HALF), np.uint64)
+    for k in range(0, len(least), PIECE):
+        m = half[k : k + PIECE + HALF]
+        for offset in (1, 2, 4, 8):
+            m = np.minimum(m[:-offset], m[offset:])
+        np.minimum(m[:-10], m[10:], out=least[k : k + PIECE])
+    return least
 
 
 class Runs:
@@ -91,7 +109,7 @@ class Runs:
         self.empty = not len(at)
         if self.empty:
             return
-        part = np.searchsorted(ends, at, side="right")
+        part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
         least = least[at]
         new = np.flatnonzero((least[1:] != least[:-1]) | (part[1:] != part[:-1])) + 1
         new = np.concatenate(([0], new))
@@ -211,8 +229,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def first(batches):
         for runs in _stretches(batches, False):
             # runs.row is the node here
-            order = np.lexsort((runs.row, runs.rank))
+            order = np.argsort(runs.rank)
             rank, node = runs.rank[order], runs.row[order]
+            same = rank[1:] == rank[:-1]
+            again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            yield from _rows([rank[~again], node[~again], np.zeros(len(rank) - again.sum(), np.int64)], schema1)
+            rank, node = rank[again], node[again]
+            if not len(rank):
+                continue
+            order = np.lexsort((node, rank))
+            rank, node = rank[order], node[order]
             new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (node[1:] != node[:-1])))
             rank, node = rank[new], node[new]
             begins = np.concatenate(([True], rank[1:] != rank[:-1]))
@@ -224,12 +250,30 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield from _rows([rank[asked], node[asked], np.zeros(asked.sum(), np.int64)], schema1)
             yield from _rows([rank[known], node[known], np.ones(known.sum(), np.int64)], schema1)
 
-    # 25 bytes: ranks in one document only drop out; the others go back to their documents.
-    half = stored(slim.select("key", "node", "raw").mapInArrow(first, ddl1))
-    asked = half.where("known = 0").select("rank", "node").repartition("rank")  # one exchange for both sides
-    shared = asked.groupBy("rank").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("rank")
-    mine = _gathered(asked.join(shared.hint("merge"), "rank").unionByName(half.where("known = 1").select("rank", "node")), "rank")
-    discard(half)
+    schema_met, ddl_met = _schema("rank", "node")
+
+    def meet(batches):
+        """Of rows in the order of their ranks: those whose rank another node has as well, and the known ones."""
+        # The last rank so far may go on: one row of it, or its least and greatest node, and whether they were given.
+        rank, node, given = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank, node = np.concatenate((rank, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+            known = np.concatenate((np.zeros(len(given), bool), batch.column(2).to_numpy() == 1))
+            given = np.concatenate((given, np.zeros(batch.num_rows, bool)))
+            begin = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+            shared = np.minimum.reduceat(node, begin) < np.maximum.reduceat(node, begin)
+            keep = (np.repeat(shared, np.diff(np.concatenate((begin, [len(rank)])))) | known) & ~given
+            yield from _rows([rank[keep], node[keep]], schema_met)
+            given |= keep
+            tail = node[begin[-1] :]
+            held = begin[-1] + (np.array([tail.argmin(), tail.argmax()]) if shared[-1] else given[begin[-1] :].argmax(keepdims=True))
+            rank, node, given = rank[held], node[held], given[held]
+
+    # 25 bytes: ranks in one document only drop out; the others go back to their documents. Known rows are spread by node.
+    half = slim.select("key", "node", "raw").mapInArrow(first, ddl1).repartition("rank", F.when(F.col("known") == 1, F.col("node")))
+    mine = _gathered(half.sortWithinPartitions("rank").mapInArrow(meet, ddl_met), "rank")
 
     schema2, ddl2 = _schema("rank", "around", "doc", "row", "place")
 
